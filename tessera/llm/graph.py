@@ -64,7 +64,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     Loops and repeated edges do no harm; edges with a null end are left out; no edges give no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    forest = edges.mapInArrow(_forest, "a long, b long").repartition("a").mapInArrow(_forest, "a long, b long")
+    forest = edges.mapInArrow(_forest, "a long, b long").repartition("b").mapInArrow(_forest, "a long, b long")
     now, turn = tables.keep(forest, f"{name}-0"), 0
     mark = _mark(now)
     while mark[0]:
