@@ -59,9 +59,15 @@ class Quality:
     #: Guards: the tests need so many words.
     char_guard: int = 20
     word_guard: int = 60
-    #: Largest distance from the nearest reference (base 2, 0 to 1).
-    char_limit: float = 0.25
-    word_limit: float = 0.62
+    #: Distances from the nearest reference (base 2, 0 to 1) beyond which a document goes: by its characters
+    #: alone, or by characters and common words together.
+    char_limit: float = 0.30
+    both_char: float = 0.14
+    both_word: float = 0.28
+
+    def odd(self, n, d_char, d_word):
+        """Which documents of n words diverge too far."""
+        return (n >= self.char_guard) & (d_char > self.char_limit) | (n >= self.word_guard) & (d_char > self.both_char) & (d_word > self.both_word)
 
 
 FOUND = pa.schema(
@@ -150,8 +156,7 @@ def _judged(refs: list, conf: Quality):
             failed = (n < conf.min_words) | (100 * again > conf.repeat_percent * n)
             grid = {c: col[c].flatten().to_numpy().reshape(len(n), -1) for c in ("chars", "words")}
             d_char, d_word = distances(grid["chars"], grid["words"], refs) if refs else (np.zeros(len(n)), np.zeros(len(n)))
-            odd = (n >= conf.char_guard) & (d_char > conf.char_limit) | (n >= conf.word_guard) & (d_word > conf.word_limit)
-            yield arrow({k: col[k] for k in names[:6]} | {"base_failed": failed, "kept": ~failed & ~odd, "char_distance": d_char, "word_distance": d_word}, schema)
+            yield arrow({k: col[k] for k in names[:6]} | {"base_failed": failed, "kept": ~failed & ~conf.odd(n, d_char, d_word), "char_distance": d_char, "word_distance": d_word}, schema)
 
     return run, ", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'double' if f.type == pa.float64() else 'long'}" for f in schema)
 
