@@ -16,6 +16,9 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 
+#: Temporary folders of local sessions, by application.
+_own: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -23,16 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     It is ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder and any
     other one gets a folder below the warehouse, which is shared as well.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        place = tempfile.mkdtemp(prefix="tessera-")
-    else:
-        place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="tessera-")
+        return _own[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
 
 
 class Tables:
