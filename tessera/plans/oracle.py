@@ -249,4 +249,12 @@ SQL = {
           SELECT t.conv_id, t.turn, t.r, CASE WHEN w.used > 0 AND w.used + t.n > 300 THEN t.n ELSE w.used + t.n END, w.batch + CASE WHEN w.used > 0 AND w.used + t.n > 300 THEN 1 ELSE 0 END FROM w JOIN t ON t.conv_id = w.conv_id AND t.r = w.r + 1
         ) SELECT conv_id, turn, batch FROM w""",
     "archive_ids": "SELECT doc_id, sha256(text)[1:16] AS archive_id, base64(encode(text[1:20])) AS encoded FROM documents",
+    "instructions_before": """
+        SELECT event_id, first_value, last_value FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS first_value, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS last_value
+        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'error'""",
+    "next_click_within": """
+        WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        h AS (SELECT a.event_id, min(b.n) FILTER (b.event_type = 'click') AS hit, min(b.n) FILTER (b.event_type = 'signup') AS stop, any_value(a.user_id) AS user_id FROM n a LEFT JOIN n b ON a.user_id = b.user_id AND b.n BETWEEN a.n + 1 AND a.n + 5 WHERE a.event_type = 'error' GROUP BY a.event_id)
+        SELECT h.event_id, n.value AS next_value FROM h LEFT JOIN n ON n.user_id = h.user_id AND n.n = h.hit AND (stop IS NULL OR hit < stop)""",
+    "later_answers": "SELECT a.conv_id, a.turn, count(b.turn) AS messages, coalesce(sum(length(b.text)), 0)::BIGINT AS chars FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.turn <= a.turn + 3 WHERE a.role = 'user' GROUP BY a.conv_id, a.turn",
 }

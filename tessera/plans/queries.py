@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import budgets, compaction, conversation, folding, ladders, lines, metrics, outlines
+from tessera.operators import asof, budgets, compaction, conversation, folding, ladders, lines, metrics, outlines
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -308,6 +308,26 @@ def archive_ids(spark, d):
     return _docs(spark, d).select("doc_id", T.archive_id(F.col("text")).alias("archive_id"), ladders.encoded(F.substring("text", 1, 20)).alias("encoded"))
 
 
+def instructions_before(spark, d):
+    """For each error event, its user's first and latest signup value so far."""
+    e = table(spark, d, "events").withColumn("o", F.struct("ts", "event_id"))
+    left = e.where("event_type = 'error'").select("user_id", "o", "event_id")
+    out = asof.before(left, e.where("event_type = 'signup'").select("user_id", "o", "value"), "user_id", "o", "value")
+    return out.select("event_id", "first_value", "last_value")
+
+
+def next_click_within(spark, d):
+    """For each error event, the value of its user's next click within five events, if no signup comes before it."""
+    out = asof.next_within(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "click", "value", 5, F.col("event_type") == "signup")
+    return out.select("event_id", "next_value")
+
+
+def later_answers(spark, d):
+    """How many characters of messages follow each request within three turns."""
+    out = asof.following(_conv(spark, d), "conv_id", ["turn"], F.col("role") == "user", "turn", 3, "text")
+    return out.select("conv_id", "turn", F.size("later").cast("long").alias("messages"), F.length(F.array_join("later", "")).cast("long").alias("chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -320,5 +340,6 @@ QUERIES = {
         benchmark_token_reuse, new_tokens, unused_share, report_sections, section_totals, rank_auc,
         spearman_ordinal, floor_median, weighted_quality, toxic_rate, saved_chars, expected_level, replay_totals,
         arm_totals, read_sizing, document_outline, wrap_decisions, development_briefs, request_batches, archive_ids,
+        instructions_before, next_click_within, later_answers,
     )
 }
