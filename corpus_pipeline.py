@@ -15,14 +15,17 @@ from tessera.llm.quality import quality
 from tessera.llm.queries import TOKENIZER, table
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among those kept; documents have distinct doc_ids."""
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _kept_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows that judge keeps. It sees them under a key made of doc_id and text, so that rows without a doc_id, or
+    with the same one but other texts, are judged by themselves; equal rows share their verdict."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    kept = judge(keyed.drop("doc_id").withColumnRenamed("_row", "doc_id")).select(F.col("doc_id").alias("_row"))
+    return keyed.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the divergence verdict reject go."""
-    return _only(docs, quality(docs).where("kept"))
+    return _kept_rows(docs, lambda rows: quality(rows).where("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +35,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    return _only(docs, near_groups(docs).where("kept"))
+    """Of each group of near-duplicates the smallest doc_id stays; rows without a doc_id stay."""
+    kept = near_groups(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    joined = docs.join(kept, docs.doc_id == kept["_kept"], "left")
+    return joined.where("doc_id is null or _kept is not null").select(*(docs[c] for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    return _kept_rows(docs, lambda rows: contamination(rows, benchmark).where("n_hit = 0"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
