@@ -33,7 +33,7 @@ raw AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\x1b\\[[0-?]*[
                generate_subscripts({_SPLIT}, 1) - 1 AS pos FROM documents),
 lines AS (SELECT doc_id, pos, CASE WHEN contains(said, chr(13)) THEN coalesce(list_filter(string_split(said, chr(13)), lambda x: x <> '')[-1], '') ELSE said END AS line FROM raw)
 """
-_SCORE = "CASE WHEN regexp_matches({0}, '(?i)error|warn|fail|BUNDLE|ROLLBACK|completed|sha256|digest|rollback|release') THEN 0.99 ELSE 0.01 END"
+_SCORE = "CASE WHEN regexp_matches({0}, '(?i)error|warn|fail|BUNDLE|ROLLBACK|completed|sha256|digest|rollback|release') THEN 0.99::DOUBLE ELSE 0.01::DOUBLE END"
 _DIAG = "regexp_matches(line, '(?i)error|warn|fail|fatal|panic|exception|traceback')"
 
 # -- folding: each line's run head, line by line ------------------------------------------------------------------
