@@ -56,7 +56,7 @@ def super_kmers(words: list[bytes], conf: SubstringDedup) -> tuple[np.ndarray, n
 WHOLE = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("mins", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 PACKED = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("first", pa.int32()), ("packed", pa.binary()), ("crowded", pa.bool_())])
 GONE = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-DIGESTS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("start", pa.int32())])
+DIGESTS = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("tid", pa.int64()), ("starts", pa.list_(pa.int32()))])
 LEFT = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
@@ -133,12 +133,16 @@ def _counted(conf: SubstringDedup):
 
 
 def _digests(conf: SubstringDedup):
+    """A row for each distinct window of a super-k-mer, with its places: periodic texts repeat few windows often."""
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index
             for doc, tid, start, packed in zip(*(batch.column(at(c)).to_pylist() for c in ("doc_id", "tid", "first", "packed"))):
-                found = [xxhash.xxh3_128_digest(w) for w in windows(packed, conf.window)]
-                yield arrow({"digest": found, "doc_id": [doc] * len(found), "tid": [tid] * len(found), "start": list(range(start, start + len(found)))}, DIGESTS)
+                found: dict[bytes, list[int]] = {}
+                for i, w in enumerate(windows(packed, conf.window), start):
+                    found.setdefault(xxhash.xxh3_128_digest(w), []).append(i)
+                yield arrow({"digest": list(found), "doc_id": [doc] * len(found), "tid": [tid] * len(found), "starts": list(found.values())}, DIGESTS)
 
     return run
 
@@ -179,7 +183,7 @@ def removed(docs: DataFrame, conf: SubstringDedup = SubstringDedup(), tables: Ta
     runs = base.where(~F.col("copy") & F.col("doc_id").isNotNull()).select("doc_id", "tid", F.explode(F.arrays_zip("mins", "firsts", "counts")).alias("r"))
     runs = tables.keep(runs.select(F.col("r.mins").alias("bucket"), "doc_id", "tid", F.col("r.firsts").alias("first"), F.col("r.counts").alias("count")), "runs")
     stats = runs.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"), F.sum("count").alias("w")).where("low < high")
-    stats = stats.select("bucket", ((F.col("n") > conf.bucket_rows) | (F.col("w") > conf.bucket_windows)).alias("crowded"))
+    stats = tables.keep(stats.select("bucket", ((F.col("n") > conf.bucket_rows) | (F.col("w") > conf.bucket_windows)).alias("crowded")), "stats")
     shared = runs.join(stats, "bucket").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("bucket", "first", "count", "crowded")).alias("runs"))
     marked = tables.keep(docs.join(shared, ["doc_id", "tid"]), "marked")
     tables.drop("runs")
@@ -187,13 +191,15 @@ def removed(docs: DataFrame, conf: SubstringDedup = SubstringDedup(), tables: Ta
     packed = tables.keep(marked.mapInArrow(_packed(conf), "bucket long, doc_id long, tid long, first int, packed binary, crowded boolean"), "packed")
     dealt = packed.where("not crowded").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "first")
     gone = dealt.mapInArrow(_counted(conf), "doc_id long, tid long, start int, stop int")
-    digests = packed.where("crowded").mapInArrow(_digests(conf), "digest binary, doc_id long, tid long, start int")
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    crowd = digests.join(least, "digest").where("doc_id > low").select("doc_id", "tid", "start", (F.col("start") + conf.window).alias("stop"))
+    digests = packed.where("crowded").mapInArrow(_digests(conf), "digest binary, doc_id long, tid long, starts array<int>")
+    # kept as tables: joins of two plain shuffles are those whose hot keys Spark can split
+    digests = tables.keep(digests, "digests")
+    least = tables.keep(digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("digest", "low"), "least")
+    crowd = digests.join(least, "digest").where("doc_id > low").select("doc_id", "tid", F.explode("starts").alias("start")).withColumn("stop", F.col("start") + conf.window)
     ranges = gone.union(crowd).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     left = marked.select("doc_id", "tid", "text").dropDuplicates(["doc_id", "tid"]).join(ranges, ["doc_id", "tid"]).mapInArrow(_left(conf), "doc_id long, tid long, n_removed long, kept_sha256 string, kept_text string")
     left = tables.keep(left, "left")
-    tables.drop("packed", "marked")
+    tables.drop("packed", "marked", "digests", "least", "stats")
     none = F.lit(sha([]))
     out = base.join(left, ["doc_id", "tid"], "left")
     return out.select(
