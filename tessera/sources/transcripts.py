@@ -62,7 +62,7 @@ def main_chain(lines: DataFrame) -> DataFrame:
 def block_text(content: Column) -> Column:
     """A string as it is, a list of blocks as their joined texts."""
     blocks = F.try_variant_get(content, "$", "array<struct<text:string>>")
-    return F.coalesce(F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "\n"), F.lit(""))
+    return F.coalesce(F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), ""), F.lit(""))
 
 
 def messages(entries: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def rollout_items(lines: DataFrame) -> DataFrame:
     """Response items; of user texts those that only describe the surroundings are left out."""
     p = "$.payload"
     kind, role = get("v", f"{p}.type"), get("v", f"{p}.role")
-    text = F.array_join(F.transform(F.try_variant_get("v", f"{p}.content", "array<struct<text:string>>"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
+    text = F.array_join(F.transform(F.try_variant_get("v", f"{p}.content", "array<struct<text:string>>"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
     rows = lines.where(get("v", "$.type") == "response_item").withColumns({"kind": kind, "role": role, "text": text})
     around = (F.col("role") == "user") & F.ltrim("text").rlike("^<(?:environment_context|user_instructions|permissions)")
     return rows.where(~F.coalesce(around, F.lit(False)))
@@ -198,9 +198,10 @@ def rollout_command(v: Column) -> Column:
     p = lambda x, k="string": F.try_variant_get(v, f"$.payload.{x}", k)
     given = F.coalesce(p("arguments"), p("input"))
     parsed = F.try_parse_json(given)
-    listed = F.coalesce(p("action.command", "array<string>"), F.try_variant_get(parsed, "$.command", "array<string>"))
-    said = F.coalesce(F.try_variant_get(parsed, "$.command", "string"), F.try_variant_get(parsed, "$.cmd", "string"), F.nullif(F.regexp_extract(given, '"cmd"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1), F.lit("")))
-    return F.coalesce(F.array_join(listed, " "), said, F.substring(given, 1, 200), F.lit(""))
+    listed = F.coalesce(p("action.command", "array<string>"), F.try_variant_get(parsed, "$.command", "array<string>"), F.try_variant_get(parsed, "$.cmd", "array<string>"))
+    quoted = F.regexp_extract(given, '"cmd"\\s*:\\s*("(?:[^"\\\\]|\\\\.)*")', 1)
+    said = F.coalesce(F.try_variant_get(parsed, "$.command", "string"), F.try_variant_get(parsed, "$.cmd", "string"), F.try_variant_get(F.try_parse_json(quoted), "$", "string"))
+    return F.coalesce(F.array_join(listed, " "), said, F.when(parsed.isNotNull(), given), F.substring(given, 1, 200), F.lit(""))
 
 
 def unwrapped(text: Column) -> Column:
@@ -211,10 +212,49 @@ def unwrapped(text: Column) -> Column:
 
 
 def rollout_output(v: Column) -> Column:
-    """The text of an output item, whose output is a string, a list of texts, or a struct."""
+    """The text of an output item, whose output is a string or a list of texts (both unwrapped), or a struct."""
     out = F.try_variant_get(v, "$.payload.output", "variant")
-    parts = F.array_join(F.transform(F.try_variant_get(out, "$", "array<struct<text:string>>"), lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
-    return unwrapped(F.coalesce(F.when(F.schema_of_variant(out) == "STRING", F.try_variant_get(out, "$", "string")), parts, F.try_variant_get(out, "$.content", "string"), F.to_json(out), F.lit("")))
+    parts = F.array_join(F.transform(F.try_variant_get(out, "$", "array<struct<text:string>>"), lambda b: F.coalesce(b["text"], F.lit(""))), "")
+    text = F.coalesce(F.when(F.schema_of_variant(out) == "STRING", F.try_variant_get(out, "$", "string")), parts)
+    return F.coalesce(unwrapped(text), F.try_variant_get(out, "$.content", "string"), F.try_variant_get(out, "$.output", "string"), F.to_json(out), F.lit(""))
+
+
+CALLS = ("function_call", "custom_tool_call", "local_shell_call")
+OUTPUTS = tuple(f"{c}_output" for c in CALLS)
+
+
+def after_compaction(lines: DataFrame) -> DataFrame:
+    """Rollout lines after the last compaction of each file."""
+    mark = (get("v", "$.type") == "compacted") | get("v", "$.payload.type").isin("compacted", "context_compacted")
+    last = F.max(F.when(mark, F.col("pos"))).over(Window.partitionBy("file"))
+    return lines.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("pos") > F.col("_last"))).drop("_last")
+
+
+def rollout_messages(lines: DataFrame) -> DataFrame:
+    """(file, msg, role, text, calls, result_id, result): messages, results as user messages; a call joins the
+    assistant message right before it, or an empty one that it begins."""
+    rows = rollout_items(lines)
+    kind = F.when(F.col("kind").isin(*CALLS), "call").when(F.col("kind").isin(*OUTPUTS), "result").when((F.col("kind") == "message") & F.col("role").isin("user", "assistant"), "message")
+    rows = rows.withColumn("item", kind).where("item is not null")
+    w = Window.partitionBy("file").orderBy("pos")
+    speaker = F.when(F.col("item") == "call", "assistant").when(F.col("item") == "result", "user").otherwise(F.col("role"))
+    rows = rows.withColumn("role", speaker)
+    joins = (F.col("item") == "call") & (F.lag("role").over(w) == "assistant")
+    rows = rows.withColumn("msg", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    call = F.struct("pos", get("v", "$.payload.call_id").alias("call_id"), F.coalesce(get("v", "$.payload.name"), F.lit("shell")).alias("tool"), rollout_command(F.col("v")).alias("command"))
+    is_ = lambda k, c: F.max(F.when(F.col("item") == k, c))
+    return rows.groupBy("file", "msg", "role").agg(
+        F.coalesce(is_("message", F.col("text")), F.lit("")).alias("text"),
+        F.sort_array(F.collect_list(F.when(F.col("item") == "call", call))).alias("calls"),
+        is_("result", get("v", "$.payload.call_id")).alias("result_id"),
+        is_("result", rollout_output(F.col("v"))).alias("result"),
+    )
+
+
+def rollout_report(lines: DataFrame, fallback: str = "") -> DataFrame:
+    """(file, report): the last assistant message, or the fallback where that is longer."""
+    said = rollout_items(lines).where("kind = 'message' and role = 'assistant'").groupBy("file").agg(F.max_by("text", "pos").alias("report"))
+    return said.withColumn("report", F.when(F.length("report") >= len(fallback), F.col("report")).otherwise(F.lit(fallback)))
 
 
 def rollout_stats(lines: DataFrame) -> DataFrame:
@@ -225,7 +265,7 @@ def rollout_stats(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(
         F.count_if(output).alias("outputs"),
         F.coalesce(F.sum(F.when(output, F.length(rollout_output(F.col("v"))))), F.lit(0)).cast("long").alias("chars"),
-        F.count_if((get("v", "$.type") == "compacted") | (kind == "context_compacted")).alias("compactions"),
+        F.count_if((get("v", "$.type") == "compacted") | kind.isin("compacted", "context_compacted")).alias("compactions"),
         F.count_if(get("v", "$.payload.name").rlike("spawn")).alias("spawns"),
         F.max_by(tokens, F.when(tokens.isNotNull(), F.col("pos"))).alias("last_tokens"),
     )

@@ -90,6 +90,7 @@ def test_rollouts(spark):
     [
         ({"action": {"command": ["ls", "-la"]}}, "ls -la"), ({"arguments": '{"command": ["a", "b"]}'}, "a b"), ({"arguments": '{"cmd": "make"}'}, "make"),
         ({"input": 'run({"cmd":"npm test"})'}, "npm test"), ({"input": "z" * 300}, "z" * 200), ({}, ""),
+        ({"input": 'run({"cmd":"say \\"hi\\" now"})'}, 'say "hi" now'), ({"arguments": '{"other": 1}'}, '{"other": 1}'),
     ],
 )
 def test_rollout_commands(spark, payload, command):
@@ -99,13 +100,25 @@ def test_rollout_commands(spark, payload, command):
 
 @pytest.mark.parametrize(
     ("output", "text"),
-    [("plain", "plain"), ('{"output": "inner"}', "inner"), ('Done\nWall time 1s\nOutput:\n{"output": "deep", "n": 1}', "deep"), ([{"text": "a"}, {"text": "b"}], "a\nb"), ({"content": "c"}, "c")],
+    [("plain", "plain"), ('{"output": "inner"}', "inner"), ('Done\nWall time 1s\nOutput:\n{"output": "deep", "n": 1}', "deep"), ([{"text": "a"}, {"text": "b"}], "ab"), ([{"text": '{"output": "c"}'}], "c"), ({"content": "c"}, "c")],
 )
 def test_rollout_outputs(spark, output, text):
     df = spark.createDataFrame([(json.dumps({"payload": {"output": output}}),)], "j string").select(F.parse_json("j").alias("v"))
     assert df.select(S.rollout_output(F.col("v")).alias("r")).first().r == text
 
 
+def test_rollout_messages(spark):
+    call = lambda n, i: item(n, type="function_call", name="shell", call_id=i, arguments='{"cmd": "ls"}')
+    said = [
+        item(0, type="message", role="assistant", content=[{"text": "old"}]), {"type": "compacted"}, call(1, "a"), item(2, type="function_call_output", call_id="a", output="out"),
+        item(3, type="message", role="assistant", content=[{"text": "x"}, {"text": "y"}]), call(4, "b"), call(5, "c"), item(6, type="message", role="user", content=[{"text": " <permissions>"}]), item(7, type="reasoning"),
+    ]
+    lines = lines_of(spark, said)
+    got = S.rollout_messages(S.after_compaction(lines)).orderBy("msg").collect()
+    assert [(r.role, r.text, [c.call_id for c in r.calls], r.result_id, r.result) for r in got] == [("assistant", "", ["a"], None, None), ("user", "", [], "a", "out"), ("assistant", "xy", ["b", "c"], None, None)]
+    assert S.rollout_report(lines).first().report == "xy" and S.rollout_report(lines, "longer").first().report == "longer"
+
+
 def test_rollout_stats_and_files(spark, tmp_path):
     folder = tmp_path / "2026" / "01"
     folder.mkdir(parents=True)
