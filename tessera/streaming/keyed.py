@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.shipping import ship
+
 OUT = "key string, event_id long, at_ms long, decision string"
 
 
@@ -30,6 +32,7 @@ def _once(first: str, again: str):
 
 def once_per_key(stream: DataFrame, first: str = "denied", again: str = "repeated") -> DataFrame:
     """For each row of a stream (key, event_id, at_ms): whether its key comes for the first time, ever."""
+    ship(stream.sparkSession)
     return stream.groupBy("key").applyInPandasWithState(_once(first, again), OUT, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -58,6 +61,7 @@ def _consumed(fresh_ms: int):
 
 def consume_once(stream: DataFrame, fresh_seconds: int = 900) -> DataFrame:
     """For each row (key, event_id, at_ms, kind put or take): a take is given what was put last, once, while fresh."""
+    ship(stream.sparkSession)
     return stream.groupBy("key").applyInPandasWithState(_consumed(1000 * fresh_seconds), OUT, "held long", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -84,6 +88,7 @@ def _queued(grace_ms: int):
 
 def idle_nudges(stream: DataFrame, grace_seconds: int = 600) -> DataFrame:
     """For each row (key, event_id, at_ms, kind queue or prompt): a prompt is blocked once, and never in the grace after a queue."""
+    ship(stream.sparkSession)
     return stream.groupBy("key").applyInPandasWithState(_queued(1000 * grace_seconds), OUT, "queued long, nudged long", "append", GroupStateTimeout.NoTimeout)
 
 
