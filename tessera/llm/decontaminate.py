@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kit import arrow, texts
+from tessera.shipping import ship
 
 #: Bytes that part words, after A-Z are lower-cased: all of ASCII but digits and a-z.
 _PARTS = bytes(b if b >= 0x80 or chr(b).isalnum() and not 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -120,6 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, conf: Decontaminate = D
     documents are scanned each by itself.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows, total = [], 0
     for item, text in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         raw = text.encode()

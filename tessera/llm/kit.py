@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.shipping import ship
+
 #: Odd 64-bit constants of the mixing functions (fixed values of the public splitmix64 generator).
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -41,6 +43,7 @@ class Tables:
     """Intermediate tables in the shared folder; they cut lineage, so a lost executor costs one stage at most."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:

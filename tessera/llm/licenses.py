@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.kit import arrow, texts
+from tessera.shipping import ship
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -200,5 +201,6 @@ def licenses(docs: DataFrame, conf: Licenses = Licenses()) -> DataFrame:
     A null or empty text has no words, no labels and score 0; permitted is null without labels. Each row is judged
     by itself, so repeated rows and a null doc_id do no harm.
     """
+    ship(docs.sparkSession)
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permitted boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scanned(conf), kinds)
