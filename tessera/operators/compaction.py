@@ -97,8 +97,8 @@ def shortened(decided: DataFrame, head_chars: int = 300) -> DataFrame:
     )
 
 
-def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic_scores: DataFrame, conf: Settings = DEFAULTS, recent: int = 6) -> dict[str, DataFrame]:
-    """The whole compaction: stats, decisions, messages and notes of every conversation.
+def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic_scores: DataFrame | None = None, conf: Settings = DEFAULTS, recent: int = 6) -> dict[str, DataFrame]:
+    """The whole compaction: stats, decisions, messages and notes of every conversation. Without topic scores no topic goes.
 
     stage is no_candidates where nothing is large enough to ask about, below_min where less than a quarter of the
     characters goes, else compacted; where it isn't compacted the conversation stays as it is.
@@ -107,18 +107,20 @@ def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic
     asked = pinned.where(~F.col("pinned") & (call_chars() >= conf.ask_call_chars)).select("conv").distinct()
     found = topics(messages, pinned, conf, recent)
     able = asked.union(found.select("conv")).distinct().withColumn("_able", F.lit(True))
-    gone = dropped_topics(found, topic_scores, conf)
-    span = gone.select(F.col("conv").alias("_conv"), "start", "stop")
-    at = lambda c: (F.col("conv") == F.col("_conv")) & F.col(c).between(F.col("start"), F.col("stop"))
-    left = messages.join(span, at("idx"), "left_anti")
-    still = pinned.join(span, at("call_idx"), "left_anti")
+    left, still = messages, pinned
+    if topic_scores is not None:
+        gone = dropped_topics(found, topic_scores, conf)
+        span = gone.select(F.col("conv").alias("_conv"), "start", "stop")
+        at = lambda c: (F.col("conv") == F.col("_conv")) & F.col(c).between(F.col("start"), F.col("stop"))
+        left = messages.join(span, at("idx"), "left_anti")
+        still = pinned.join(span, at("call_idx"), "left_anti")
     decided = decisions(still, call_scores, conf)
     decided = rescued(decided, kept_results(decided, conf=conf))
     after = shortened(decided)
     used = decided.where("action <> 'drop_call'").select("conv", F.col("call_idx").alias("idx")).distinct().withColumn("_calls", F.lit(True))
     empty = (F.col("role") == "assistant") & T.is_blank(F.col("text"))
     left = left.join(used, ["conv", "idx"], "left").where(~empty | F.col("_calls").isNotNull()).drop("_calls")
-    notes = topic_notes(gone, messages, left)
+    notes = topic_notes(gone, messages, left) if topic_scores is not None else messages.select("conv", "idx", F.lit(0).alias("exchange"), F.lit("").alias("note")).where("false")
     chars = lambda df, *c: df.groupBy("conv").agg(F.sum(sum((F.length(F.coalesce(x, F.lit(""))) for x in c), F.lit(0))).alias("n"))
     before = chars(messages, "text").unionByName(chars(calls, "result", "input")).groupBy("conv").agg(F.sum("n").alias("before"))
     rest = chars(left, "text").unionByName(chars(after, "result_after", "input_after")).unionByName(chars(notes, "note")).groupBy("conv").agg(F.sum("n").alias("after"))

@@ -132,8 +132,7 @@ def _calls(spark, d):
 
 def verbatim_reduction(spark, d):
     messages, calls, scores = _calls(spark, d)
-    none = messages.select("conv", F.lit(0).alias("exchange"), F.lit(0.01).alias("closed")).limit(0)
-    return compaction.compact(messages, calls, scores, none, recent=2)["stats"]
+    return compaction.compact(messages, calls, scores, recent=2)["stats"]
 
 
 def call_decisions(spark, d):
