@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +9,9 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.kit import Tables
 from tessera.llm.line_dedup import without_repeats
 from tessera.llm.near_dedup import near_groups
-from tessera.llm.packing import Packing, packed
+from tessera.llm.packing import packed
 from tessera.llm.quality import quality
-from tessera.llm.queries import TOKENIZER, table
+from tessera.llm.queries import PACKING, table
 
 
 def _kept_rows(docs: DataFrame, judge) -> DataFrame:
@@ -49,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of packed sequences."""
-    return packed(docs, Packing(public_tokenizers.path(TOKENIZER)))
+    return packed(docs, PACKING)
 
 
 STAGES = [

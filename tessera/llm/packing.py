@@ -10,6 +10,7 @@ cut into powers of two, which need no padding. A document finds its place from i
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -23,63 +24,53 @@ from pyspark.sql import functions as F
 
 from tessera.llm.kit import Tables, arrow
 
-#: Chunks that the memo of token ids holds before it starts anew.
-MEMO = 300_000
-_ODD_SPACE = re.compile(r"\s\s")
-_tokenizers: dict[str, Ids] = {}
+#: Characters whose classes and white space the two tokenizer libraries hold alike; other texts take the slower one.
+_PLAIN = re.compile("[^\\x00-\u024f\u2010-\u2027]")
+#: White space that takes long to split.
+_LONG_SPACE = re.compile(r"\s{1000}")
+_tokenizers: dict[tuple, Ids] = {}
 
 
 class Ids:
     """Token ids as little-endian 32-bit bytes.
 
-    Byte-level BPE splits before each space that stands between two other characters, so such chunks can be
-    encoded apart and remembered.
+    With the same vocabulary as a file of ranks, plain texts are encoded by tiktoken, which is faster on words it
+    hasn't met; what could differ (special tokens, other scripts) is left to the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.model, self.fast = Tokenizer.from_file(path), None
+        if ranks:
+            from tiktoken import Encoding
+
+            with open(ranks, "rb") as f:
+                merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
 
     def raw(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or "  " in text or _ODD_SPACE.search(text):
+        if self.fast is None or "<|" in text or _PLAIN.search(text) or _LONG_SPACE.search(text):
             return self.raw(text)
-        head, *rest = text.split(" ")
-        memo = self.memo
-        try:
-            return self.raw(head) + b"".join([memo[w] for w in rest])
-        except KeyError:
-            self.learn(dict.fromkeys(w for w in rest if w not in memo))
-            return self.raw(head) + b"".join([self.memo[w] if w in self.memo else self.raw(" " + w) for w in rest])
-
-    def learn(self, words) -> None:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        words = list(words)
-        for at in range(0, len(words), 2_000):
-            part = words[at : at + 2_000]
-            got = self.model.encode(" " + " ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            owner = np.searchsorted(starts, [a for a, _ in got.offsets], "right") - 1
-            ids, cuts = np.array(got.ids, "<u4"), np.searchsorted(owner, np.arange(len(part) + 1))
-            for w, a, b in zip(part, cuts.tolist(), cuts[1:].tolist()):
-                self.memo[w] = ids[a:b].tobytes()
-
-
-def ids_of(path: str) -> Ids:
-    if path not in _tokenizers:
-        _tokenizers[path] = Ids(path)
-    return _tokenizers[path]
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def ids_of(*files: str | None) -> Ids:
+    if files not in _tokenizers:
+        _tokenizers[files] = Ids(*files)
+    return _tokenizers[files]
 
 
 @dataclass(frozen=True)
 class Packing:
+    #: A file of the tokenizers library; the same vocabulary as a file of ranks, with its pattern, if there is one.
     tokenizer: str
+    ranks: str | None = None
+    pattern: str | None = None
     capacity: int = 1024
     end_id: int = 0
 
@@ -188,7 +179,7 @@ PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 
 def _tokens(conf: Packing):
     def run(batches):
-        encode, end, wide = ids_of(conf.tokenizer), np.array([conf.end_id], "<u4").tobytes(), 4 * conf.capacity
+        encode, end, wide = ids_of(conf.tokenizer, conf.ranks, conf.pattern), np.array([conf.end_id], "<u4").tobytes(), 4 * conf.capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), {f.name: [] for f in TOKENS}

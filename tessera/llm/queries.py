@@ -20,8 +20,8 @@ from tessera.llm.substring_dedup import removed
 from tessera.llm.url_filter import judge
 from tessera.llm.wrapper import extract
 
-#: The public vocabulary that the registered packing counts tokens by.
-TOKENIZER = "byte_bpe_50k.json"
+#: The public vocabulary that the registered packing counts tokens by, in both its files.
+PACKING = Packing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op8_super_kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), Packing(public_tokenizers.path(TOKENIZER)))
+    return packed(table(spark, sf_dir, "documents"), PACKING)
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from tessera.llm.near_dedup import NearDedup, near_groups
 from tessera.llm.packing import Packing, packed
 from tessera.llm.pii import personal_data
 from tessera.llm.quality import quality
+from tessera.llm.queries import PACKING
 from tessera.llm.substring_dedup import SubstringDedup, removed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, component string, keep string, bands string"
@@ -108,8 +109,9 @@ def test_packing(docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    pieces = [tuple(r) for r in packed(docs, Packing(path)).collect()]
-    assert brute.check_packing(pieces, ROWS, lambda t: model.encode(t, add_special_tokens=False).ids) == 0
+    for conf in (Packing(path), PACKING):
+        pieces = [tuple(r) for r in packed(docs, conf).collect()]
+        assert brute.check_packing(pieces, ROWS, lambda t: model.encode(t, add_special_tokens=False).ids) == 0
 
 
 def test_quality(docs):

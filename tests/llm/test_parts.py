@@ -98,15 +98,23 @@ def test_fullest_is_the_best(counts, room):
     assert all(n <= counts[x] for x, n in chosen.items())
 
 
-@settings(deadline=None, max_examples=200)
-@given(st.text(alphabet="ab1 \n\té'<|>　.", max_size=40))
-def test_memo_gives_the_tokenizers_ids(text):
-    import public_tokenizers
+@settings(deadline=None, max_examples=400)
+@given(st.one_of(st.text(alphabet="ab1 \n\té'<|>\x1c\x85\xa0.²ª", max_size=40), st.text(st.characters(max_codepoint=0x24F), max_size=30), st.text(max_size=20)))
+def test_both_libraries_give_the_same_ids(text):
+    from tessera.llm.queries import PACKING
 
-    ids = packing.ids_of(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = packing.ids_of(PACKING.tokenizer, PACKING.ranks, PACKING.pattern)
     assert ids(text) == ids.raw(text)
 
 
+def test_ids_of_long_and_special_texts():
+    from tessera.llm.queries import PACKING
+
+    ids = packing.ids_of(PACKING.tokenizer, PACKING.ranks, PACKING.pattern)
+    for text in ("x" * 20_000, " " * 20_000, "\n" * 5_000 + "a", "a<|endoftext|>b", "ab " * 5_000, "日本語", "'s 've"):
+        assert ids(text) == ids.raw(text)
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="a@.+-1() %_", max_size=40))
 def test_base_spans(text):
