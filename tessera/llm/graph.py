@@ -72,6 +72,8 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        # a node with many smaller neighbours has one edge from each partition after this
+        large = large.mapInArrow(_forest, "a long, b long")
         # small-star: every node and its smaller neighbours move to the smallest of these
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
@@ -84,5 +86,7 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a"), F.col("a")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
+def _mark(edges: DataFrame) -> tuple[int, ...]:
+    """The number of edges and two sums of independent hashes: unequal for different edge sets but by a chance of 1e-12."""
+    total = lambda seed: F.coalesce(F.sum(F.xxhash64(F.lit(seed), "a", "b") % 1_000_003), F.lit(0))
+    return tuple(edges.agg(F.count("*"), total(1), total(2)).first())
