@@ -39,6 +39,8 @@ DROP_WORDS = set(
     "related recommended newsletter subscribe signup login search toolbar widget pagination pager copyright disclaimer skip masthead topbar complementary contentinfo dialog".split()
 )
 HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that may wrap a whole article; any other is a block of one.
+WRAPS = {"#root", "html", "body", "div", "section", "center"}
 
 
 class Node:
@@ -241,8 +243,6 @@ def merge(into: list, other: list, pages: int = 1) -> None:
 class Wrapper:
     #: Pages on which a slot must have had one text before it is template.
     support: int = 8
-    #: A region must hold this share of a host's varying text where no element is marked as the article.
-    region_share: float = 0.8
     #: Blocks whose text is in links to this share are lists of links.
     link_share: float = 0.5
     salts: int = 32
@@ -294,23 +294,24 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
     def fixed(t: list) -> bool:
         return t[SAME] is not None and t[PAGES] >= conf.support and t[TIMES] == t[PAGES]
 
-    def settle(t: list, inside: bool, varies: bool) -> None:
+    def settle(t: list, inside: bool, varies: bool, within: bool = True) -> None:
+        """within: whether t lies in an article, not right in the page, whose header is the site's."""
         tag = t[SIG].split(" ")[0]
-        keep = inside and not _dropped(t[SIG], True, False)
+        keep = inside and not _dropped(t[SIG], within, False)
         if keep and tag == "#text":
             keep = not (fixed(t) and varies)
         out[id(t)] = keep
         for k in t[KIDS]:
-            settle(k, keep, varies and tag not in HEADS)
+            settle(k, keep, varies and tag not in HEADS, tag not in ("#root", "html", "body"))
 
     if marked:
         for t in marked:
             settle(t, True, any(not fixed(x) for x in _leaves(t)))
         return out
     total, region = varying(top), top
-    while total:
-        inner = next((k for k in region[KIDS] if varying(k) >= conf.region_share * total and k[SIG] != "#text"), None)
-        if inner is None:
+    while total:  # down to the smallest wrapping element that holds all of it
+        inner = next((k for k in region[KIDS] if varying(k) == total), None)
+        if inner is None or inner[SIG].split(" ")[0] not in WRAPS or inner[TIMES] > inner[PAGES]:
             break
         region = inner
     settle(region, True, True)

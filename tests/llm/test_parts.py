@@ -234,6 +234,18 @@ def test_main_text(spark, tag, n):
     assert got == {i: SAID.format(f"Title{i}", f"Word{i * 7}") for i in range(n)}
 
 
+@pytest.mark.parametrize("n", [1, 12])
+@pytest.mark.parametrize("page", [
+    "<div class=content><h1>Head {0}</h1><p>{1}</p><p>{1}</p><ul><li>Item {0}</li></ul><blockquote>Quote {0}</blockquote></div>",
+    "<header><h2>Site</h2></header><div class=title><h1>Head {0}</h1></div><div class=text><p>{1}</p><p>{1}</p></div><div class=end><ul><li>Item {0}</li></ul><blockquote>Quote {0}</blockquote></div>",
+])
+def test_unmarked_articles_are_whole(spark, page, n):
+    long = [" ".join(f"long{i}" for _ in range(200)) for i in range(n)]
+    pages = [(i, "http://h/", f"<body>{page.format(i, long[i])}</body>") for i in range(n)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} {long[i]} {long[i]} Item {i} Quote {i}" for i in range(n)}
+
+
 def test_constant_slots_are_template(spark):
     page = "<body><div><p>Welcome to our site, dear reader</p><div><p>Text {0} of this page is long enough to be read</p><p>And more {0}</p></div></div></body>"
     pages = [(i, "http://h/", page.format(i)) for i in range(12)]
