@@ -3,7 +3,8 @@
 The DOM trees of a host's pages are aligned by simple tree matching into one template, the wrapper: runs of equal
 siblings fold into one node, and every text slot knows whether its text was the same on all pages (template) or
 varied (slot). The wrapper says which region holds the article and which of its slots are boilerplate; a page's
-text is read off by aligning it with its host's wrapper. Wrappers merge in any order, so they are built by
+text is read off by aligning it with its host's wrapper. Pages of a host with and without an element that marks the
+article have wrappers of their own. Wrappers merge in any order, so they are built by
 partition, then by host and salt, then by host.
 """
 
@@ -263,17 +264,34 @@ def _dropped(sig: str, inside: bool, holds: bool) -> bool:
     return not DROP_WORDS.isdisjoint(words)
 
 
+def _marks(sig: str, wanted: str) -> bool:
+    return (sig.split(" ")[0] == wanted or wanted == "main" and sig.endswith(" main")) and not _dropped(sig, False, False)
+
+
+def layout(page: Node) -> str:
+    """What marks a page's article: "article", "main" or, where nothing does, ""."""
+
+    def has(node, wanted: str) -> bool:
+        if isinstance(node, Leaf) or node.sig.split(" ")[0] in DROP_TAGS:
+            return False
+        return _marks(node.sig, wanted) or any(has(k, wanted) for k in node.kids)
+
+    return next((w for w in ("article", "main") if has(page, w)), "")
+
+
 def roles(top: list, conf: Wrapper) -> dict[int, bool]:
-    """Template node (by id()) -> whether its text is article text; nodes that aren't in it have their parent's role."""
+    """Template node (by id()) -> whether its text is article text; nodes that aren't in it have their parent's role.
+
+    The template is of pages of one layout.
+    """
     marked: list[list] = []
     holding: set[int] = set()
 
-    def find(t: list, wanted: tuple[str, ...]) -> bool:
+    def find(t: list, wanted: str) -> bool:
         """Whether t holds a marked element; the topmost ones are gathered."""
-        tag = t[SIG].split(" ")[0]
-        if tag in DROP_TAGS:
+        if t[SIG].split(" ")[0] in DROP_TAGS:
             return False
-        if (tag in wanted or "main" in wanted and t[SIG].endswith(" main")) and not _dropped(t[SIG], False, False):
+        if _marks(t[SIG], wanted):
             marked.append(t)
             return True
         if any([find(k, wanted) for k in t[KIDS]]):
@@ -281,7 +299,7 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
             return True
         return False
 
-    find(top, ("article",)) or find(top, ("main",))
+    find(top, "article") or find(top, "main")
     out: dict[int, bool] = {}
 
     def varying(t: list) -> int:
@@ -366,11 +384,12 @@ def read_off(node, t: list | None, said: dict[int, bool], inside: bool, out: lis
             read_off(kid, mates.get(i), said, inside, out)
 
 
-def main_text(source: str | None, wrapper: list | None, said: dict[int, bool]) -> str:
+def main_text(source: str | None, known: dict[str, tuple[list, dict[int, bool]]]) -> str:
+    """known: layout -> the host's wrapper of such pages, and its roles."""
     if not source:
         return ""
-    out: list[str] = []
-    read_off(parse(source), wrapper, said, False, out)
+    page, out = parse(source), []
+    read_off(page, *known.get(layout(page), (None, {})), False, out)
     return " ".join(out)
 
 
@@ -384,17 +403,23 @@ def _induced(batches):
     for batch in batches:
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if source:
-                t = template(parse(source))
-                if host in found:
-                    merge(found[host], t)
-                else:
-                    found[host] = t
+                page = parse(source)
+                _add(found.setdefault(host, {}), {layout(page): template(page)})
         if len(found) > 2_000:
             yield _given(found, salt)
             found = {}
     yield _given(found, salt)
 
 
+def _add(into: dict[str, list], other: dict[str, list]) -> None:
+    """Adds a host's wrappers by layout to another's."""
+    for kind, t in other.items():
+        if kind in into:
+            merge(into[kind], t)
+        else:
+            into[kind] = t
+
+
 def _given(found: dict, salt: int) -> pa.RecordBatch:
     return arrow({"host": list(found), "salt": [salt] * len(found), "wrapper": [json.dumps(t, separators=(",", ":")) for t in found.values()]}, PARTS)
 
@@ -402,21 +427,17 @@ def _given(found: dict, salt: int) -> pa.RecordBatch:
 def _merged(keys: tuple[str, ...]):
     def run(batches):
         for key, slices in groups(batches, keys):
-            whole = None
+            whole: dict[str, list] = {}
             for part in slices:
                 for text in part.column(part.schema.get_field_index("wrapper")).to_pylist():
-                    t = json.loads(text)
-                    if whole is None:
-                        whole = t
-                    else:
-                        merge(whole, t)
+                    _add(whole, json.loads(text))
             yield _given({key[0]: whole}, 0)
 
     return run
 
 
 def wrappers(pages: DataFrame, host: Column, conf: Wrapper, tables: Tables) -> DataFrame:
-    """(host, wrapper) for every host of pages."""
+    """(host, wrapper) for every host of pages; a wrapper is a JSON object of templates by layout."""
     kinds = "host string, salt int, wrapper string"
     parts = pages.select(host.alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_induced, kinds)
     parts = parts.withColumn("salt", F.pmod("salt", F.lit(conf.salts)).cast("int"))
@@ -430,7 +451,7 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 def _read(conf: Wrapper):
     def run(batches):
-        known: dict[str, tuple] = {}
+        known: dict[str, dict] = {}
         for batch in batches:
             at = batch.schema.get_field_index
             page, url, source, wrapper = (batch.column(at(c)).to_pylist() for c in ("page_id", "url", "html", "wrapper"))
@@ -439,9 +460,8 @@ def _read(conf: Wrapper):
                 if w is not None and w not in known:
                     if len(known) > 500:
                         known.clear()
-                    t = json.loads(w)
-                    known[w] = (t, roles(t, conf))
-                said.append(main_text(s, *known.get(w, (None, {}))))
+                    known[w] = {kind: (t, roles(t, conf)) for kind, t in json.loads(w).items()}
+                said.append(main_text(s, known.get(w, {})))
             yield arrow({"page_id": page, "url": url, "text": said, "n_chars": [len(x) for x in said]}, TEXTS)
 
     return run

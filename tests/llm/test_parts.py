@@ -246,6 +246,14 @@ def test_unmarked_articles_are_whole(spark, page, n):
     assert got == {i: f"Head {i} {long[i]} {long[i]} Item {i} Quote {i}" for i in range(n)}
 
 
+@pytest.mark.parametrize("url", ["http://h/", None])
+def test_pages_without_a_mark_beside_marked_ones(spark, url):
+    kinds = ["<article><h1>Head {0}</h1><p>Text {0}</p></article>", "<main><h1>Head {0}</h1><p>Text {0}</p></main>", "<div class=old><h1>Head {0}</h1><p>Text {0}</p></div>"]
+    pages = [(i, url, f"<body><nav>Menu {i}</nav>{kinds[i % 3].format(i)}<footer>Foot {i}</footer></body>") for i in range(30)] + [(30, url, "plain text")]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: f"Head {i} Text {i}" for i in range(30)} | {30: "plain text"}
+
+
 def test_constant_slots_are_template(spark):
     page = "<body><div><p>Welcome to our site, dear reader</p><div><p>Text {0} of this page is long enough to be read</p><p>And more {0}</p></div></div></body>"
     pages = [(i, "http://h/", page.format(i)) for i in range(12)]
