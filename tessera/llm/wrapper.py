@@ -65,6 +65,8 @@ class Leaf:
 
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: From such a word on, a class says how an element is laid out, not what it is: has-sidebar, noComments.
+_FLAG = re.compile(r"(?:(?<![A-Za-z])(?:has|no|with|without)(?=[-_A-Z])|(?<=[a-z])(?:Has|No|With|Without)(?=[-_A-Z]))\S*")
 
 
 def _signature(tag: str, attrs: str) -> str:
@@ -74,7 +76,8 @@ def _signature(tag: str, attrs: str) -> str:
     for name, *values in _ATTR.findall(attrs):
         name = name.lower()
         if name in ("class", "id", "role"):
-            said += [w.lower() for w in _WORD.findall(next((v for v in values if v), ""))]
+            value = next((v for v in values if v), "")
+            said += [f.lower() for f in _FLAG.findall(value)] + [w.lower() for w in _WORD.findall(_FLAG.sub("", value))]
     return f"{tag} {' '.join(sorted(set(said)))}" if said else tag
 
 
@@ -285,6 +288,7 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
     The template is of pages of one layout.
     """
     marked: list[list] = []
+    #: Elements that hold most of the varying text; no class word drops them.
     holding: set[int] = set()
 
     def find(t: list, wanted: str) -> bool:
@@ -294,10 +298,7 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
         if _marks(t[SIG], wanted):
             marked.append(t)
             return True
-        if any([find(k, wanted) for k in t[KIDS]]):
-            holding.add(id(t))
-            return True
-        return False
+        return any([find(k, wanted) for k in t[KIDS]])
 
     find(top, "article") or find(top, "main")
     out: dict[int, bool] = {}
@@ -306,8 +307,15 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
         """Characters of t in slots that may be article text."""
         if _dropped(t[SIG], False, id(t) in holding):
             return 0
-        own = t[CHARS] if t[SIG] == "#text" and not fixed(t) and t[LINKS] <= conf.link_share * t[CHARS] else 0
-        return own + sum(varying(k) for k in t[KIDS])
+        return loose(t) + sum(varying(k) for k in t[KIDS])
+
+    def loose(t: list) -> int:
+        return t[CHARS] if t[SIG] == "#text" and not fixed(t) and t[LINKS] <= conf.link_share * t[CHARS] else 0
+
+    def weigh(t: list, own) -> int:
+        """Sum of own over the slots of t, whatever classes say."""
+        size[id(t)] = 0 if t[SIG].split(" ")[0] in DROP_TAGS else own(t) + sum(weigh(k, own) for k in t[KIDS])
+        return size[id(t)]
 
     def fixed(t: list) -> bool:
         return t[SAME] is not None and t[PAGES] >= conf.support and t[TIMES] == t[PAGES]
@@ -315,13 +323,16 @@ def roles(top: list, conf: Wrapper) -> dict[int, bool]:
     def settle(t: list, inside: bool, varies: bool, within: bool = True) -> None:
         """within: whether t lies in an article, not right in the page, whose header is the site's."""
         tag = t[SIG].split(" ")[0]
-        keep = inside and not _dropped(t[SIG], within, False)
+        keep = inside and not _dropped(t[SIG], within, id(t) in holding)
         if keep and tag == "#text":
             keep = not (fixed(t) and varies)
         out[id(t)] = keep
         for k in t[KIDS]:
             settle(k, keep, varies and tag not in HEADS, tag not in ("#root", "html", "body"))
 
+    size: dict[int, int] = {}
+    most = sum(weigh(t, loose) for t in marked or [top]) or sum(weigh(t, lambda x: x[CHARS]) for t in marked)
+    holding.update(i for i, n in size.items() if 2 * n > most)
     if marked:
         for t in marked:
             settle(t, True, any(not fixed(x) for x in _leaves(t)))

@@ -254,6 +254,15 @@ def test_pages_without_a_mark_beside_marked_ones(spark, url):
     assert got == {i: f"Head {i} Text {i}" for i in range(30)} | {30: "plain text"}
 
 
+@pytest.mark.parametrize("around", ["class='content has-sidebar'", "class=no-comments", "id=page class='with-banner'", "class=layout--without-footer", "class=pageNoComments", "class='content footer'"])
+@pytest.mark.parametrize("tag", ["{0}", "<article>{0}</article>"])
+def test_class_words_do_not_drop_the_article(spark, around, tag):
+    inner = f"<div {around}><h1>Head {{0}}</h1><p>{'Some text ' * 20}{{0}}</p><div class=sidebar>Side {{0}}</div><div class='comments no-border'>First {{0}}</div></div>"
+    pages = [(i, "http://h/", f"<body>{tag.format(inner).format(i)}<div class=footer>Foot {i}</div></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i} {'Some text ' * 20}{i}" for i in range(12)}
+
+
 def test_constant_slots_are_template(spark):
     page = "<body><div><p>Welcome to our site, dear reader</p><div><p>Text {0} of this page is long enough to be read</p><p>And more {0}</p></div></div></body>"
     pages = [(i, "http://h/", page.format(i)) for i in range(12)]
