@@ -133,6 +133,13 @@ def test_skip_chain_spreads_a_label():
     assert p2[free2.index(7)][k] < p[free.index(2)][k]
 
 
+@pytest.mark.parametrize("n", [20, 60])
+def test_long_skip_chains_converge(n):
+    model = crf.trained()
+    words = ("phone ab12-cd34-ef56-gh78-ij90 " * 3 + "and on then saw ab12-cd34-ef56-gh78-ij90 was seen " * n).split()
+    assert np.abs(model.marginals(words)[1] - model.marginals(words, rounds=3_000)[1]).max() < 1e-3
+
+
 def test_crf_held_out():
     import random
 
