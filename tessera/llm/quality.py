@@ -59,6 +59,8 @@ class Quality:
     #: Guards: the tests need so many words.
     char_guard: int = 20
     word_guard: int = 60
+    #: Documents of word_guard words that a language outside COMMON needs for a reference.
+    min_docs: int = 100
     #: Distances from the nearest reference (base 2, 0 to 1) beyond which a document goes: by its characters
     #: alone, or by characters and common words together.
     char_limit: float = 0.30
@@ -127,13 +129,14 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def references(found: DataFrame, conf: Quality) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms by language; as many as languages in COMMON at most."""
+def references(found: DataFrame, conf: Quality) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean histograms by language: those in COMMON, and every other with enough documents."""
     share = lambda c: [F.avg(F.element_at(c, i + 1) / F.col("total_" + c)).alias(f"{c}{i}") for i in range(CLASSES if c == "chars" else len(WORDS) + 1)]
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    usable = found.where(F.col("lang").isin(*COMMON) & (F.col("n_words") >= conf.word_guard)).withColumns({"total_chars": total("chars"), "total_words": total("words")})
-    rows = usable.groupBy("lang").agg(*share("chars"), *share("words")).orderBy("lang").collect()
-    return [(np.array(r[1 : CLASSES + 1]), np.array(r[CLASSES + 1 :])) for r in rows]
+    usable = found.where(F.col("lang").isNotNull() & (F.col("n_words") >= conf.word_guard)).withColumns({"total_chars": total("chars"), "total_words": total("words")})
+    means = usable.groupBy("lang").agg(*share("chars"), *share("words"), F.count("*").alias("n"))
+    rows = means.where(F.col("lang").isin(*COMMON) | (F.col("n") >= conf.min_docs)).drop("n").orderBy("lang").collect()
+    return {r[0]: (np.array(r[1 : CLASSES + 1]), np.array(r[CLASSES + 1 :])) for r in rows}
 
 
 def distances(chars: np.ndarray, words: np.ndarray, refs: list) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +146,7 @@ def distances(chars: np.ndarray, words: np.ndarray, refs: list) -> tuple[np.ndar
     return np.min([divergence(p, c) for c, _ in refs], axis=0), np.min([divergence(w, q) for _, q in refs], axis=0)
 
 
-def _judged(refs: list, conf: Quality):
+def _judged(refs: dict, conf: Quality):
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
     schema = pa.schema([(n, pa.bool_() if n in ("base_failed", "kept") else pa.float64() if n.endswith("distance") else pa.int64()) for n in names])
 
@@ -155,8 +158,9 @@ def _judged(refs: list, conf: Quality):
             n, again = col["n_words"].to_numpy(), col["n_repeat_words"].to_numpy()
             failed = (n < conf.min_words) | (100 * again > conf.repeat_percent * n)
             grid = {c: col[c].flatten().to_numpy().reshape(len(n), -1) for c in ("chars", "words")}
-            d_char, d_word = distances(grid["chars"], grid["words"], refs) if refs else (np.zeros(len(n)), np.zeros(len(n)))
-            yield arrow({k: col[k] for k in names[:6]} | {"base_failed": failed, "kept": ~failed & ~conf.odd(n, d_char, d_word), "char_distance": d_char, "word_distance": d_word}, schema)
+            d_char, d_word = distances(grid["chars"], grid["words"], list(refs.values())) if refs else (np.zeros(len(n)), np.zeros(len(n)))
+            judged = np.array([x is None or x in refs or x in COMMON for x in col["lang"].to_pylist()])
+            yield arrow({k: col[k] for k in names[:6]} | {"base_failed": failed, "kept": ~failed & ~(judged & conf.odd(n, d_char, d_word)), "char_distance": d_char, "word_distance": d_word}, schema)
 
     return run, ", ".join(f"{f.name} {'boolean' if f.type == pa.bool_() else 'double' if f.type == pa.float64() else 'long'}" for f in schema)
 
@@ -164,8 +168,9 @@ def _judged(refs: list, conf: Quality):
 def quality(docs: DataFrame, conf: Quality = Quality(), tables: Tables | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, char_distance, word_distance for each row of docs (doc_id, text, lang).
 
-    A null text has no words and fails the base rules; so does an empty one. A null or unknown lang takes no
-    part in the references and is compared with all of them. Without any reference the divergence test passes.
+    A null text has no words and fails the base rules; so does an empty one. A null lang takes no part in the
+    references and is compared with all of them. A language outside COMMON with too few documents for a reference
+    isn't judged by divergence. Without any reference the divergence test passes.
     Repeated rows are judged each by itself; a null doc_id stays null.
     """
     tables = tables or Tables(docs.sparkSession)

@@ -294,6 +294,14 @@ def test_awkward_pages(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_languages_beyond_ascii_are_kept(spark):
+    rng = np.random.default_rng(5)
+    text = lambda low, high: " ".join("".join(chr(c) for c in rng.integers(low, high, rng.integers(3, 9))) for _ in range(80))
+    rows = [(i, text(97, 123), "en") for i in range(150)] + [(200 + i, text(0x430, 0x450), "ru") for i in range(150)] + [(400, text(0x3041, 0x3090), "ja"), (401, text(35, 48), "en"), (402, text(35, 48), "ru")]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {d for d, kept in got.items() if not kept} == {401, 402}
+
+
 def test_matching_of_trees():
     a, b = (wrapper.template(wrapper.parse(x)) for x in ("<div><h1>a</h1><p>b</p><ul></ul></div>", "<div><p>c</p><ul></ul></div>"))
     assert wrapper.matched(a, b) == 5  # root, div, p, its text, ul
