@@ -1,7 +1,10 @@
 """Licence scans: Aho-Corasick over normalised words for notices and identifier tags, and licence expressions.
 
 An identifier tag's expression is parsed by the shunting-yard method (with binds before and, and before or) and
-evaluated: its licences become labels, and it is permitted if the allowed licences satisfy it.
+evaluated: its licences become labels, it is permitted if the allowed licences satisfy it, and it has a score. The
+score of a text says how surely it is under licence terms: what binds together (and, and several notices) adds up, a
+choice (or) counts as its surer side, an exception (with) leaves its licence's score. Scanning, parsing and evaluating
+take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -71,19 +74,20 @@ def label_of(identifier: str) -> str:
 def to_postfix(expression: str) -> list[str]:
     """The longest leading part of a text that is a licence expression, in postfix order (shunting-yard).
 
-    Operators are and, or, with, in any case; an operand must stand between them. [] if none leads the text.
+    Operators are and, or, with, in any case; an operand must stand between them, and with joins one licence and one
+    exception. [] if none leads the text.
     """
     out: list[str] = []
     waiting: list[str] = []
-    good: list[str] = []
-    want, depth, end = True, 0, 0
+    good: tuple[int, list[str]] = (0, [])
+    want, depth, end, single = True, 0, 0, False
     for m in _TOKEN.finditer(expression):
         if expression[end : m.start()].strip():
             break
         token, end = m[0], m.end()
         low = token.lower()
         if token == "(":
-            if not want:
+            if not want or waiting and waiting[-1] == "with":
                 break
             waiting.append(token)
             depth += 1
@@ -94,8 +98,9 @@ def to_postfix(expression: str) -> list[str]:
                 out.append(waiting.pop())
             waiting.pop()
             depth -= 1
+            single = False
         elif low in _BINDS:
-            if want:
+            if want or low == "with" and not single:
                 break
             while waiting and waiting[-1] != "(" and _BINDS[waiting[-1]] >= _BINDS[low]:
                 out.append(waiting.pop())
@@ -106,26 +111,29 @@ def to_postfix(expression: str) -> list[str]:
             if not want:
                 break
             out.append(token)
-            want = False
+            want, single = False, not waiting or waiting[-1] != "with"
         if not want and not depth:
-            good = out + waiting[::-1]
-    return good
+            good = len(out), waiting[::-1]  # outside parentheses no more wait than there are kinds of operators
+    return out[: good[0]] + good[1]
 
 
-def evaluate(postfix: list[str], allowed: frozenset) -> tuple[set[str], bool]:
-    """(labels, whether the allowed licences satisfy the expression). An exception keeps its licence's standing."""
-    stack: list[tuple[set[str], bool]] = []
+def evaluate(postfix: list[str], allowed: frozenset, weight: float = 0.95) -> tuple[set[str], bool, float]:
+    """(labels, whether the allowed licences satisfy the expression, score). An exception keeps its licence's standing."""
+    stack: list[tuple[set[str], bool, float]] = []
     for token in postfix:
         if token in _BINDS:
-            right, left = stack.pop(), stack.pop()
+            (right, fine, more), (left, good, score) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append(({f"{x}-with-{y}" for x in left[0] for y in right[0]}, left[1]))
-            else:
-                stack.append((left[0] | right[0], left[1] or right[1] if token == "or" else left[1] and right[1]))
+                stack.append(({f"{x}-with-{y}" for x in left for y in right}, good, score))
+                continue
+            if len(left) < len(right):
+                left, right = right, left
+            left |= right
+            stack.append((left, good or fine, max(score, more)) if token == "or" else (left, good and fine, 1 - (1 - score) * (1 - more)))
         else:
             label = label_of(token)
-            stack.append(({label}, label in allowed))
-    return stack[-1] if stack else (set(), False)
+            stack.append(({label}, label in allowed, weight))
+    return stack[-1] if stack else (set(), False, 0.0)
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -154,28 +162,33 @@ def scan(text: bytes | None, conf: Licenses) -> tuple:
     base = [(at, p) for at, p in found if p in BASE]
     base_labels = {BASE[p] for _, p in base}
     weights: dict[str, float] = dict.fromkeys(base_labels, conf.base_weight)
-    covered: list[tuple[int, int]] = []
-    for at, p in sorted(found, key=lambda x: -len(x[1])):  # a phrase within a longer one that was found adds nothing
-        if any(a <= at and at + len(p) <= b for a, b in covered):
+    reach = 0
+    for at, p in sorted(found, key=lambda x: (x[0], -len(x[1]))):
+        if at + len(p) <= reach:  # a phrase within a longer one that was found adds nothing
             continue
-        covered.append((at, at + len(p)))
+        reach = at + len(p)
         if p in NOTICES:
             weights.setdefault(NOTICES[p], conf.notice_weight)
+    tagged: set[str] = set()
+    said: dict[str, float] = {}
     permitted = None
     if any(p == TAG for _, p in found):
         for m in _TAGGED.finditer(text):
-            labels, fine = evaluate(to_postfix(m[1].decode(errors="replace")), conf.allowed)
-            if labels:
+            postfix = to_postfix(m[1].decode(errors="replace"))
+            if postfix:
+                labels, fine, sure = evaluate(postfix, conf.allowed, conf.tag_weight)
                 permitted = fine if permitted is None else permitted and fine
-                weights.update({x: max(conf.tag_weight, weights.get(x, 0)) for x in labels})
+                said[" ".join(postfix).lower()] = sure
+                tagged |= labels
     if permitted is None and weights:
         permitted = all(x in conf.allowed for x in weights)
-    starts = np.cumsum(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20) - 1  # words before each character
-    places = [int(starts[at]) for at, _ in base]
     score = 1.0
-    for w in weights.values():
+    for w in sorted([*said.values(), *(w for x, w in weights.items() if x not in tagged)]):
         score *= 1 - w
-    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(weights)), round(1 - score, 6), permitted
+    every = tagged | set(weights)
+    starts = np.cumsum(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20) - 1  # words before each character
+    places = [int(starts[at]) for at, _ in base]
+    return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(every)), round(1 - score, 6), permitted
 
 
 OUT = pa.schema(
@@ -198,8 +211,10 @@ def _scanned(conf: Licenses):
 def licenses(docs: DataFrame, conf: Licenses = Licenses()) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, permitted per row of docs.
 
-    A null or empty text has no words, no labels and score 0; permitted is null without labels. Each row is judged
-    by itself, so repeated rows and a null doc_id do no harm.
+    A null or empty text has no words, no labels and score 0; permitted is null without labels, and false as soon as
+    one expression isn't satisfied. Each row is judged by itself, so repeated rows and a null doc_id do no harm; an
+    empty table gives no rows and other columns of docs are left out. Phrases that start together count each, and the
+    longer one gives the label; an expression that is said again counts once.
     """
     ship(docs.sparkSession)
     kinds = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permitted boolean"

@@ -50,7 +50,7 @@ def op5_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses(table(spark, sf_dir, "documents")).drop("permitted")
+    return licenses(table(spark, sf_dir, "documents"))
 
 
 def op7_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

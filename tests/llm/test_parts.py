@@ -259,6 +259,63 @@ def test_tags_are_evaluated():
     assert got[7] is False
 
 
+def test_and_or_and_with_differ():
+    scan = lambda x: licenses.scan(f"SPDX-License-Identifier: {x}\n".encode(), licenses.Licenses())
+    both, either, one, excused = (scan(x) for x in ("MIT AND GPL-3.0-only", "MIT OR GPL-3.0-only", "GPL-3.0-only", "GPL-3.0-only WITH x-exception"))
+    assert both[5] == either[5] == "gpl-3,mit" and excused[5] == "gpl-3-with-x-exception"
+    assert (both[7], either[7], one[7], excused[7]) == (False, True, False, False)
+    assert both[6] > either[6] == one[6] == excused[6]
+
+
+def plain_value(tokens, allowed):
+    """The value of an expression by recursive descent, over the same tokens: (labels, permitted, score)."""
+
+    def term(level, at):
+        if level == 3:
+            if tokens[at] == "(":
+                got, at = term(1, at + 1)
+                return got, at + 1
+            label = licenses.label_of(tokens[at])
+            return ({label}, label in allowed, 0.95), at + 1
+        got, at = term(level + 1, at)
+        while at < len(tokens) and tokens[at] == ("or", "and")[level - 1]:
+            more, at = term(level + 1, at + 1)
+            got = (got[0] | more[0], got[1] or more[1], max(got[2], more[2])) if level == 1 else (got[0] | more[0], got[1] and more[1], 1 - (1 - got[2]) * (1 - more[2]))
+        return got, at
+
+    return term(1, 0)[0]
+
+
+EXPRESSIONS = st.recursive(st.sampled_from([["MIT"], ["ISC"], ["GPL-3.0-only"], ["EPL-2.0"]]), lambda x: st.one_of(st.tuples(x, st.sampled_from(["or", "and"]), x).map(lambda t: [*t[0], t[1], *t[2]]), x.map(lambda t: ["(", *t, ")"])), max_leaves=12)
+
+
+@given(EXPRESSIONS)
+def test_evaluation_against_recursive_descent(tokens):
+    labels, fine, score = licenses.evaluate(licenses.to_postfix(" ".join(tokens)), licenses.ALLOWED)
+    want = plain_value(tokens, licenses.ALLOWED)
+    assert (labels, fine) == want[:2] and abs(score - want[2]) < 1e-9
+
+
+@pytest.mark.parametrize("text", ["Under the MIT License, GNU General Public License version 3. " * 100_000, "SPDX-License-Identifier: " + " OR ".join(f"L{i}" for i in range(100_000)), "SPDX-License-Identifier: " + "(" * 100_000 + "MIT" + ")" * 100_000, "SPDX-License-Identifier: MIT\n" * 50_000])
+def test_long_licence_texts_take_linear_time(text):
+    import time
+
+    start = time.monotonic()
+    got = licenses.scan(text.encode(), licenses.Licenses())
+    assert got[5] and time.monotonic() - start < 10
+
+
+WORDS = st.lists(st.sampled_from("gnu general public license version 3 2 cc by nc sa under the mit apache x".split()), max_size=30)
+
+
+@given(WORDS)
+def test_notice_labels_against_plain_search(words):
+    phrases = {**licenses.BASE, **licenses.NOTICES}
+    hits = [(i, i + len(p.split()), phrases[p], p in licenses.BASE) for p in phrases for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    want = {label for a, b, label, base in hits if base or not any(c <= a and b <= d and (c, d) != (a, b) for c, d, *_ in hits)}
+    assert licenses.scan(" ".join(words).encode(), licenses.Licenses())[5] == ",".join(sorted(want))
+
+
 def test_divergence():
     p = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]])
     assert np.allclose(quality.divergence(p, np.array([1.0, 0.0])), [0, np.sqrt(0.311278), 1], atol=1e-5)
