@@ -441,3 +441,130 @@ def test_matching_of_trees():
     assert wrapper.matched(a, b) == 5  # root, div, p, its text, ul
     wrapper.merge(a, b)
     assert [k[0] for k in a[wrapper.KIDS][0][wrapper.KIDS]] == ["h1", "p", "ul"]
+
+
+def most_matched(a, b):
+    """Simple tree matching straight from its recursion."""
+    if a[0] != b[0]:
+        return 0
+    best = lambda x, y: 0 if not x or not y else max(best(x[1:], y), best(x, y[1:]), most_matched(x[0], y[0]) + best(x[1:], y[1:]))
+    return 1 + best(a[wrapper.KIDS], b[wrapper.KIDS])
+
+
+TREES = st.recursive(st.just([]), lambda kids: st.lists(st.tuples(st.sampled_from("ab"), kids), max_size=3), max_leaves=6).map(lambda kids: tree("r", kids))
+
+
+def tree(sig, kids):
+    return [sig, 1, 1, "", 0, 0, [tree(s, k) for s, k in kids], None]
+
+
+@settings(deadline=None)
+@given(TREES, TREES)
+def test_matching_against_its_recursion(a, b):
+    assert wrapper.matched(a, b) == most_matched(a, b)
+    want = most_matched(a, b)
+    nodes = len(wrapper.preorder(a, lambda t: t[wrapper.KIDS])) + len(wrapper.preorder(b, lambda t: t[wrapper.KIDS]))
+    wrapper.merge(a, b)
+    assert len(wrapper.preorder(a, lambda t: t[wrapper.KIDS])) == nodes - want
+
+
+@given(st.lists(st.integers(0, 30), max_size=12, unique=True), st.permutations(range(12)))
+def test_longest_common_order(a, b):
+    from itertools import combinations
+
+    node = lambda x: [str(x), 1, 1, "", 0, 0, [], None]
+    pairs = wrapper._in_order([node(x) for x in a], [node(x) for x in b])
+    assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and sorted(j for _, j in pairs) == [j for _, j in pairs]
+    places = [b.index(x) for x in a if x < 12]
+    assert len(pairs) == max(n for n in range(len(places) + 1) for c in combinations(places, n) if list(c) == sorted(c))
+
+
+@given(TREES)
+def test_flat_templates_come_back(t):
+    assert wrapper.unpacked(wrapper.packed(t)) == t
+
+
+HARD = {
+    "deep": lambda i: "<body><article>" + "<div>" * 20_000 + f"deep {i}",
+    "deep without a mark": lambda i: "<body>" + "<div class=x>" * 20_000 + f"deep {i}" + "</div>" * 20_000 + "<p>end</p>",
+    "alternating": lambda i: "<body><article>" + f"<p>a {i}</p><h2>b</h2>" * 10_000,
+    "irregular": lambda i: "<body><article>" + "".join(("<p>a</p>", "<h2>b</h2>", "<ul><li>c</ul>", "<table><tr><td>x</table>")[(j * j * 7 + j * (i + 3) + (j >> 3)) % 4] for j in range(20_000)),
+    "many classes": lambda i: "<body><article>" + "".join(f"<p class={chr(97 + j * (i + 1) % 26) * (1 + j % 40)}>a</p>" for j in range(20_000)),
+    "stray ends": lambda i: "<body>" + "<div>" * 20_000 + "</p></em></section>" * 20_000 + "<li>x" * 20_000,
+    "attribute": lambda i: "<body><p " + "a" * 300_000 + " b=1>x</p>",
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_pages_take_linear_time(name):
+    import time
+
+    start, found = time.monotonic(), wrapper._Found(wrapper.Wrapper())
+    pages = [HARD[name](i) for i in range(3)]
+    for source in pages:
+        page = wrapper.parse(source)
+        found.add("h", wrapper.layout(page), wrapper.template(page))
+    known = {kind: (t, wrapper.roles(t, wrapper.Wrapper())) for kind, t in found.hosts["h"].items()}
+    got = [wrapper.main_text(source, known) for source in pages]
+    assert all(got) and time.monotonic() - start < 40
+    if name == "deep":
+        assert got == [f"deep {i}" for i in range(3)]
+    if name == "alternating":
+        assert got[1] == " ".join(["a 1 b"] * 10_000)
+
+
+def test_wrappers_are_bounded(spark):
+    """Pages without anything in common: the wrapper stays small, and every page is read."""
+    import json
+
+    conf = wrapper.Wrapper(most_nodes=50)
+    pages = [(i, None, f"<body><article>{''.join(f'<div class={chr(97 + i % 26) * (1 + j)}><p>t{i}x{j}</p></div>' for j in range(30))}</article></body>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    made = wrapper.wrappers(df, wrapper.host_of(df.url), conf, Tables(spark)).collect()
+    assert len(made) == 1 and all(len(rows) <= 50 for rows in json.loads(made[0].wrapper).values())
+    got = {r.page_id: r.text for r in wrapper.extract(df, conf).collect()}
+    assert got == {i: " ".join(f"t{i}x{j}" for j in range(30)) for i in range(60)}
+
+
+def host_pages(seed: int, n: int) -> list[tuple[str, str]]:
+    """(html, article) of the pages of a made-up host without any mark or telling name: blocks that are the same on all
+    its pages before, beside and after the article, lists of links, and the article in nested elements."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    name = lambda: "x" + word()
+    block = lambda: f"<div class={name()}><p>{words(rng.randint(5, 40))}</p></div>"
+    links = lambda: f"<ul>{{links}}</ul>"
+    before, after = ([rng.choice([block, block, links])() for _ in range(rng.randint(1, 3))] for _ in range(2))
+    intro, outro = f"<h2>{words(4)}</h2>", f"<div class={name()}>{words(12)}</div>"
+    kinds = [rng.choice(["p", "p", "p", "h3", "ul", "blockquote"]) for _ in range(rng.randint(3, 9))]
+    shell = [name() for _ in range(rng.randint(1, 3))]
+    out = []
+    for _ in range(n):
+        said, body = [], []
+        for kind in ["h1", *kinds[: rng.randint(2, len(kinds))]]:
+            text = words(rng.randint(3, 8) if kind in ("h1", "h3") else rng.randint(15, 60))
+            said.append(text)
+            body.append(f"<ul><li>{text}</li></ul>" if kind == "ul" else f"<{kind}>{text}</{kind}>")
+        inner = "".join(f"<div class={c}>" for c in shell) + "".join(body) + "</div>" * len(shell)
+        chrome = lambda parts: "".join(p.replace("{links}", "".join(f"<li><a href=/x>{words(2)}</a></li>" for _ in range(4))) for p in parts)
+        out.append((f"<html><body>{intro}{chrome(before)}{inner}{outro}{chrome(after)}</body></html>", " ".join(said)))
+    return out
+
+
+def test_made_up_hosts(spark):
+    """Against the known articles; a page by itself can't tell its article from the blocks around it."""
+    pages, want = [], {}
+    for host in range(40):
+        for html, said in host_pages(host, 12):
+            want[len(pages)] = said
+            pages.append((len(pages), f"https://h{host}.example/{len(pages)}", html))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in wrapper.extract(rows).collect()}
+    alone = spark.createDataFrame([(i, f"https://p{i}.example/", h) for i, _, h in pages[::12]], "page_id long, url string, html string")
+    lone = {r.page_id: r.text for r in wrapper.extract(alone).collect()}
+    right = sum(got[i] == want[i] for i in want)
+    assert right >= 0.97 * len(want), [i for i in want if got[i] != want[i]][:5]
+    assert all(lone[i] != want[i] for i in lone)
