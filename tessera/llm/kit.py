@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +42,62 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
 
 
+#: Folder that tables are made in while ``scratch`` is open.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 class Tables:
-    """Intermediate tables in the shared folder; they cut lineage, so a lost executor costs one stage at most."""
+    """Intermediate tables in the shared folder; they cut lineage, so a lost executor costs one stage at most.
+
+    They go when the driver ends, if nothing drops them before.
+    """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+        self.spark, self.root, self.made = spark, f"{_scratch.get() or shared_dir(spark)}/tessera-{uuid.uuid4().hex}", False
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        if not self.made:
+            files, root = _files(self.spark, self.root)
+            self.made = files.deleteOnExit(root)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables that no pending DataFrame reads any more."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def bytes_of(self, name: str) -> int:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+            files, path = _files(self.spark, f"{self.root}/{name}")
+            files.delete(path, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables made within are dropped at the end: write what is still needed of them before."""
+    root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    token = _scratch.set(root)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        files, path = _files(spark, root)
+        files.delete(path, True)
+
+
+def fresh(df: DataFrame, *stems: str) -> str | list[str]:
+    """A column name for each stem that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = next(n for n in (f"_{stem}{i or ''}" for i in count()) if n.lower() not in taken)
+        taken.add(name.lower())
+        out.append(name)
+    return out if len(out) > 1 else out[0]
 
 
 def texts(column: pa.Array) -> Iterator[bytes | None]:
