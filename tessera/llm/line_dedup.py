@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.kit import Tables
+from tessera.llm.kit import Tables, fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -69,11 +69,33 @@ def kept_text(text: Column, keep: Column) -> Column:
     return F.when(keep.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.filter(lines_of(text), stays), "\n"))
 
 
-def without_repeats(docs: DataFrame, conf: LineDedup = LineDedup(), tables: Tables | None = None) -> DataFrame:
-    """docs with the columns n_lines, n_dropped and kept; a column of docs with such a name is replaced."""
+def _with_bitmaps(docs: DataFrame, conf: LineDedup, tables: Tables | None) -> tuple[DataFrame, str, str]:
+    """docs with two columns under names of their own, which are given as well: n_dropped and the bitmap, null where nothing goes."""
     tables = tables or Tables(docs.sparkSession)
-    maps = tables.keep(line_bitmaps(docs, conf, tables), "bitmaps").select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("n_dropped").alias("_dropped"), "keep")
-    docs = docs.drop("n_lines", "n_dropped", "kept", "keep")
-    joined = docs.join(maps.withColumnRenamed("keep", "_keep"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_tid")), "left")
-    out = joined.withColumns({"n_lines": F.size(lines_of(F.col("text"))).cast("long"), "n_dropped": F.coalesce("_dropped", F.lit(0)).cast("long"), "kept": kept_text(F.col("text"), F.col("_keep"))})
-    return out.drop("_doc", "_tid", "_dropped", "_keep")
+    doc, tid, dropped, keep = fresh(docs, "doc", "tid", "dropped", "keep")
+    maps = tables.keep(line_bitmaps(docs.select("doc_id", "text"), conf, tables), "bitmaps").toDF(doc, tid, dropped, keep)
+    joined = docs.join(maps, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(tid)), "left")
+    return joined.drop(doc, tid), dropped, keep
+
+
+def without_repeats(docs: DataFrame, conf: LineDedup = LineDedup(), tables: Tables | None = None) -> DataFrame:
+    """docs with the columns n_lines, n_dropped and kept; a column of docs with such a name is replaced.
+
+    A null or empty text is one empty line. Of lines that tie, the smallest doc_id keeps all of its own. Rows that
+    share a doc_id count as one document, and equal rows lose the same lines; a row without a doc_id loses nothing.
+    Texts of any length are read whole; an empty table gives no rows.
+    """
+    joined, dropped, keep = _with_bitmaps(docs.drop("n_lines", "n_dropped", "kept"), conf, tables)
+    out = joined.withColumns({"n_lines": F.size(lines_of(F.col("text"))).cast("long"), "n_dropped": F.coalesce(dropped, F.lit(0)).cast("long"), "kept": kept_text(F.col("text"), F.col(keep))})
+    return out.drop(dropped, keep)
+
+
+def deduplicated(docs: DataFrame, conf: LineDedup = LineDedup(), tables: Tables | None = None) -> DataFrame:
+    """docs with the lines that stay as text, and n_chars, if there is one, following it; other columns as they are.
+
+    A row that loses nothing keeps its text, so a null stays null.
+    """
+    joined, _, keep = _with_bitmaps(docs, conf, tables)
+    text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col(keep)))
+    length = F.when(F.col(keep).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return joined.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -99,6 +99,106 @@ def test_contamination(spark, docs):
         assert sum(len(brute.PLAIN.findall(text[s.start : s.end].translate(brute.LOWER))) for s in spans) == hit
 
 
+@pytest.mark.parametrize("most", [1, 7, 11, 30])
+def test_contamination_in_passes(spark, docs, most):
+    """A benchmark beyond one automaton: the same rows, in as many passes as it takes."""
+    from tessera.llm.decontaminate import Decontaminate, parts_of, uncontaminated, windows_of
+
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole, conf = contamination(docs, items), Decontaminate(most_words=most)
+    assert sorted(map(str, contamination(docs, items, conf).collect())) == sorted(map(str, whole.collect()))
+    clean = {r.doc_id for r in whole.where("n_hit = 0").collect()}
+    assert {r.doc_id for r in uncontaminated(docs, items, conf).collect()} == clean
+    raw = [(str(i), t.encode()) for i, t in ITEMS if t]
+    spelled = lambda part: {(tuple(part.vocabulary[x - 1] for x in ids[i : i + 10]), item) for item, ids in part.runs for i in range(max(1, len(ids) - 9))}
+    parts = list(parts_of(raw, 10, most))
+    assert set().union(*map(spelled, parts)) == spelled(windows_of(raw, 10)) and len(parts) > 1
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 5])
+def test_crowded_lines(docs, crowd):
+    """Hashes that are settled from partial minima give what the stream gives."""
+    from tessera.llm.line_dedup import LineDedup
+
+    got = by_id(without_repeats(docs, LineDedup(crowd=crowd)).withColumn("sha", F.sha2("kept", 256)), "n_lines", "n_dropped", "sha")
+    assert got == brute.line_dedup(ROWS)
+
+
+def plain_kept(text, lang):
+    """The verdict of the quality rules, from the definition of the Jensen-Shannon distance."""
+    from math import log2, sqrt
+
+    from tessera.llm import quality as q
+
+    conf = q.Quality()
+    n, *_, failed = brute.quality_base(text)
+    words = brute.SPACED.findall(text or "")
+    space = " \t\n\x0b\x0c\r"
+    kind = lambda c: 6 if ord(c) > 127 else 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in space else 4 if c in ".,;:!?'\"()-" else 5
+    chars = [sum(kind(c) == k for c in text or "") for k in range(7)]
+
+    def distance(p, shares):
+        p = [x / max(1, sum(p)) for x in p]
+        part = lambda u: sum(x * log2(2 * x / (y + z)) for x, y, z in zip(u, p, shares) if x > 0)
+        return sqrt(min(1, max(0, (part(p) + part(shares)) / 2)))
+
+    by_char, by_word, rest = [], [], []
+    for code, line in q.COMMON.items():
+        own = line.split()
+        share = [q.FIRST_SHARE / r for r in range(1, len(own) + 1)]
+        every = own + sorted({w for x in q.COMMON.values() for w in x.split()} - set(own))
+        count = [words.count(w) for w in every]
+        rest.append(1 - sum(share))
+        by_word.append(distance([*count, n - sum(count)], [*share, *[0] * (len(every) - len(own)), 1 - sum(share)]))
+        by_char.append(distance(chars, [x / sum(q.CHAR_SHARES[code]) for x in q.CHAR_SHARES[code]]))
+    common = distance([chars[0] + chars[1] + chars[6], *chars[2:6]], q.ANY_SHARES)
+    d_char, d_word = min(by_char), min(by_word)
+    if lang is None:
+        d_char = min(d_char, common)
+    elif lang not in q.COMMON:
+        d_char, d_word = common, 0
+    few = n - sum(count) > max(rest) * n
+    odd = n >= conf.char_guard and d_char > conf.char_limit or n >= conf.word_guard and d_char > conf.both_char and d_word > conf.both_word and few
+    return not failed and not odd
+
+
+def test_verdicts_against_a_plain_version(spark):
+    rng, rows = random.Random(11), []
+    common = "the of and to in a is der die und de la que el".split()
+    for i in range(250):
+        alphabet = rng.choice(["abcdefghij", "ABCDEFGH", "абвгдежз", "#$%&*|<>", "0123456789", "aAbB1#é", "あいうえお"])
+        word = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(2, 7)))
+        said = [rng.choice(common) if rng.random() < rng.choice([0, 0.2, 0.4]) else word() + rng.choice(["", "", ".", ",", "!!"]) for _ in range(rng.choice([5, 15, 25, 59, 60, 120]))]
+        rows.append((i, " ".join(said), rng.choice(["en", "de", "ru", "ja", None])))
+    rows += [(300, None, "en"), (301, "", None), (302, " \n", "ru")]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: plain_kept(t, lang) for i, t, lang in rows}
+    assert 30 < sum(got.values()) < 220
+
+
+def test_verdicts_do_not_depend_on_neighbours(spark):
+    from tessera.llm.quality import passing
+
+    df = spark.createDataFrame([(d, t, "en" if d % 2 else None) for d, t in ROWS], "doc_id long, text string, lang string")
+    whole = {r.doc_id: tuple(r) for r in quality(df).collect()}
+    half = {r.doc_id: tuple(r) for r in quality(df.where("doc_id % 4 = 3")).collect()}
+    assert half and all(whole[d] == row for d, row in half.items())
+    assert {r.doc_id for r in passing(df).collect()} == {d for d, row in whole.items() if row[7]}
+
+
+def test_fitted_references(spark):
+    from tessera.llm.quality import Quality, fitted
+
+    text = lambda i: ("Some words of the text, and more. " * 12) + f"n{i}"
+    df = spark.createDataFrame([(i, text(i) if i % 3 else "### $$$ " * 40, "xx") for i in range(30)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(30)], "doc_id long, quality int")
+    refs = fitted(df, labels, most=7)
+    assert set(refs) == {"xx"} and all(abs(sum(x) - 1) < 1e-9 for x in refs["xx"])
+    got = {r.doc_id: r.char_distance for r in quality(df, Quality(), refs).collect()}
+    assert all((d < 0.05) == bool(i % 3) for i, d in got.items())
+    assert fitted(df.limit(0), labels) == {}
+
+
 @pytest.mark.parametrize("conf", [SubstringDedup(), SubstringDedup(bucket_rows=1)])
 def test_substrings(docs, conf):
     assert by_id(removed(docs, conf), "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(ROWS)

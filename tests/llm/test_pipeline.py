@@ -57,3 +57,32 @@ def test_stages_take_awkward_rows(spark, sf_dir, name, stage):
     got = [str(r["doc_id"]) for r in out.collect() if name != "packing" or r["start"] == 0]
     assert got.count("None") >= 1 and got.count("7") == 3
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+CLASHING = "keep string, kept string, _keep string, _kept string, n_lines string, n_dropped string, _row string, _gone string, _doc string, _tid string, _dropped string, _state string, _text string, component string, rep string, a long, b long, grp string, low long, high long"
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES[:-1])
+def test_stages_keep_clashing_columns(spark, sf_dir, name, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [c.split(" ") for c in CLASHING.split(", ")]
+    wide = docs.selectExpr("*", *[f"cast({7 if kind == 'long' else repr('v-' + column)} as {kind}) as `{column}`" for column, kind in names])
+    out = stage(spark, wide, sf_dir)
+    assert out.columns == wide.columns
+    plain = sorted(map(str, (tuple(r) for r in stage(spark, docs, sf_dir).collect())))
+    rows = out.collect()
+    assert sorted(str(tuple(r)[: len(docs.columns)]) for r in rows) == plain and plain
+    assert all(r[column] == (7 if kind == "long" else "v-" + column) for r in rows for column, kind in names)
+
+
+def test_run_leaves_its_result_alone(spark, sf_dir):
+    """Tables of the stages are dropped when the next stage is written."""
+    import os
+
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    place = place.removeprefix("file:")
+    before = set(os.listdir(place))
+    out = pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    made = set(os.listdir(place)) - before
+    assert len(made) == 1 and os.listdir(f"{place}/{made.pop()}") == [f"stage-{len(pipeline.STAGES) - 1}-packing"]
