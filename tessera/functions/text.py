@@ -15,16 +15,20 @@ DIAGNOSTIC = "(?i)error|warn|fail|fatal|panic|exception|traceback"
 SIMILARITY, MIN_RUN = 0.7, 6
 
 
+#: The same characters one by one.
+SPACES = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return trimmed(c) == ""
+    return ~c.rlike(f"[^{WS}]")
 
 
 def without_ansi(c: Column) -> Column:
-    return F.regexp_replace(c, ANSI, "")
+    return F.when(F.contains(c, F.lit("\x1b")), F.regexp_replace(c, ANSI, "")).otherwise(c)
 
 
 def settled(line: Column) -> Column:
@@ -142,9 +146,14 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("[A-Za-z_][A-Za-z0-9_]{5,}|[0-9a-f]{7,40}|[0-9]{3,}|[\\uac00-\\ud7a3]{3,}"), F.lit(0))
 
 
+#: Numbered items and bullets of a brief.
+NUMBERED = "^\\s*(?:[0-9]{1,2}[.)]|\\([0-9]{1,2}\\)|[①-⑩])\\s+(.{10,240})$"
+BULLET = "^\\s*[-*•]\\s+(.{10,240})$"
+
+
 def items_of(brief: Column) -> Column:
     """Numbered items of 10 to 240 characters if there are 2 to 8 (none if more), else 2 to 8 bullets, else none."""
     lines = F.split(brief, "\n", -1)
-    pick = lambda p: F.filter(F.transform(lines, lambda x: trimmed(F.regexp_extract(x, p, 1))), lambda x: F.length(x).between(10, 240))
-    numbered, bullets, none = pick("^\\s*[0-9]+[.)]\\s+(.*)$"), pick("^\\s*[-*]\\s+(.*)$"), F.array().cast("array<string>")
+    pick = lambda p: F.filter(F.transform(lines, lambda x: F.regexp_extract(x, p, 1)), lambda x: x != "")
+    numbered, bullets, none = pick(NUMBERED), pick(BULLET), F.array().cast("array<string>")
     return F.when(F.size(numbered) >= 2, F.when(F.size(numbered) <= 8, numbered).otherwise(none)).when(F.size(bullets).between(2, 8), bullets).otherwise(none)

@@ -37,6 +37,9 @@ class Settings:
     timing_min_tokens: int = 60_000
     timing_default_ttl: int = 300
     timing_grace: int = 600
+    #: The cache's lifetime, if it is known better than from the history, and the idle time that always ends it.
+    timing_ttl: int = 0
+    timing_expired_after: float = float("inf")
     retained_fresh: int = 900
 
     @classmethod
@@ -61,29 +64,27 @@ def cases(*pairs: tuple[Column, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def prune_stages(df: DataFrame, key: str, output: str = "text", command: str | None = None, budget: int | None = None, conf: Settings = DEFAULTS) -> DataFrame:
+def prune_stages(df: DataFrame, key: str, output: str = "text", command: str | None = None, budget: int | None = None, conf: Settings = DEFAULTS, failed: Column | None = None) -> DataFrame:
     """(key, stage, source_chars, visible_chars, folded, visible): how each output would be shown.
 
-    Cheap tests come first; only outputs that pass them are folded, in Python, below a filter. Searches and
-    listings aren't folded. key must be unique. A null output is small.
+    Cheap tests come first; only outputs that pass them are folded, in Python, in one pass. Searches and listings
+    aren't folded. key must be unique. A null output is small. failed: outputs whose original couldn't be written;
+    what would be folded of them is archive_failed and shown whole.
     """
     said = F.coalesce(F.col(command), F.lit("")) if command else F.lit("")
     text = F.coalesce(F.col(output), F.lit(""))
     kind = T.output_class(said, text)
     early = cases((F.length(text) < conf.prune_min_chars, "small"), (T.looks_binary(text), "binary"), (kind == "document", "document"), (kind == "search", "nothing_to_fold"), otherwise="open")
-    rows = df.select(key, text.alias("_text"), early.alias("stage"), T.looks_secret(text).alias("_secret"), F.length(text).cast("long").alias("source_chars"))
-    done = rows.where("stage <> 'open'").select(key, "stage", "source_chars", "source_chars", F.lit(0).cast("long"), F.lit(None).cast("string"))
-    todo = rows.where("stage = 'open'").drop("stage")
-    fold = folded(todo.withColumn("_all", F.struct(key, "_secret", "source_chars")), "_all", "_text").select("_all.*", "reduced", "folded")
+    lost = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    rows = df.select(F.struct(key, early.alias("stage"), T.looks_secret(text).alias("_secret"), lost.alias("_lost"), F.length(text).cast("long").alias("source_chars")).alias("_all"), text.alias("_text"))
+    rows = folded(rows, "_all", "_text", only=F.col("_all.stage") == "open").select("_all.*", "reduced", "folded")
     path = F.when(~F.col("_secret"), F.concat(F.lit("archive/"), F.col(key).cast("string")))
-    shown = F.concat("reduced", T.fold_footer(F.col("folded"), path))
     room = F.col("source_chars") * (1 - conf.prune_min_saving)
     fits = F.length("shown") <= (F.least(F.lit(budget), room) if budget is not None else room)
-    stage = cases((F.col("folded") == 0, "nothing_to_fold"), (fits, "fold"), otherwise="not_enough_saving")
-    late = fold.withColumn("shown", shown).withColumn("stage", stage)
+    late = cases((F.col("folded") == 0, "nothing_to_fold"), (~fits, "not_enough_saving"), (F.col("_lost"), "archive_failed"), otherwise="fold")
+    rows = rows.withColumn("shown", F.concat("reduced", T.fold_footer(F.col("folded"), path))).withColumn("stage", F.when(F.col("stage") == "open", late).otherwise(F.col("stage")))
     shows = F.col("stage") == "fold"
-    late = late.select(key, "stage", "source_chars", F.when(shows, F.length("shown")).otherwise(F.col("source_chars")).cast("long").alias("visible_chars"), "folded", F.when(shows, F.col("shown")).alias("visible"))
-    return done.toDF(*late.columns).union(late)
+    return rows.select(key, "stage", "source_chars", F.when(shows, F.length("shown")).otherwise(F.col("source_chars")).cast("long").alias("visible_chars"), F.coalesce("folded", F.lit(0)).cast("long").alias("folded"), F.when(shows, F.col("shown")).alias("visible"))
 
 
 def call_decision(pinned: Column, keep_result: Column, keep_call: Column, conf: Settings = DEFAULTS) -> Column:
@@ -127,30 +128,34 @@ def shorten_limit(conf: Settings = DEFAULTS) -> int:
 
 
 def resume(conf: Settings = DEFAULTS) -> Column:
-    """Over enabled, lost, tokens, idle, ttl, notify: what to do when a session is taken up again."""
+    """Over enabled, lost, headless, tokens, idle, expired: what to do when a session is taken up again.
+
+    Only a session without anybody at it can be compacted at once; else its user is told. A compaction that the
+    resume undid comes first. expired is what the host says of the cache; idle time alone can tell it as well.
+    """
     c = F.col
-    ttl = F.coalesce(c("ttl"), F.lit(conf.timing_default_ttl))
-    return cases(
-        (~c("enabled"), "off"),
-        (c("lost"), "compact"),
-        (c("tokens").isNull(), "no_usage"),
-        (c("idle") < ttl, "cache_warm"),
-        (c("tokens") < conf.timing_min_tokens, "below_min_tokens"),
-        (c("notify"), "notify"),
-        otherwise="compact",
-    )
+    cold = F.coalesce(c("expired"), F.lit(False)) | F.coalesce(c("idle") >= F.lit(conf.timing_expired_after), F.lit(False))
+    act = F.when(c("headless"), "compact").otherwise("notify")
+    first = cases((~c("enabled"), "off"), (c("lost"), "act"), (c("tokens").isNull(), "no_usage"), (~cold, "cache_warm"), (c("tokens") < conf.timing_min_tokens, "below_min_tokens"), otherwise="act")
+    return F.when(first == "act", act).otherwise(first)
 
 
 def idle(conf: Settings = DEFAULTS) -> Column:
-    """Over enabled, queued_ago, compacted_since, tokens, idle, ttl, warn_only, nudged: what to do at a prompt after a pause."""
+    """Over enabled, queued_ago, lost, compacted_since, tokens, idle, ttl, warn_only, nudged: what to do at a prompt after a pause.
+
+    lost: a resume undid the last compaction and no prompt was stopped for it yet; compacted_since: there was another
+    one since. ttl is the cache's lifetime by the history.
+    """
     c = F.col
-    ttl = F.coalesce(c("ttl"), F.lit(conf.timing_default_ttl))
+    ttl = F.lit(conf.timing_ttl) if conf.timing_ttl else F.coalesce(c("ttl"), F.lit(conf.timing_default_ttl))
+    undone = c("lost") & ~F.coalesce(c("warn_only"), F.lit(False))
     return cases(
         (~c("enabled"), "off"),
-        (c("queued_ago") <= conf.timing_grace, "compact_queued"),
-        (c("compacted_since"), "compacted_since"),
+        (c("queued_ago") < conf.timing_grace, "compact_queued"),
+        (undone & c("compacted_since"), "compacted_since"),
+        (undone, "blocked"),
         (c("tokens").isNull(), "no_usage"),
-        (c("idle") < ttl, "cache_warm"),
+        ((c("idle") < ttl) & (c("idle") < F.lit(conf.timing_expired_after)), "cache_warm"),
         (c("tokens") < conf.timing_min_tokens, "below_min_tokens"),
         (c("warn_only"), "warned"),
         (c("nudged"), "nudged_already"),
@@ -158,27 +163,35 @@ def idle(conf: Settings = DEFAULTS) -> Column:
     )
 
 
-#: Commands whose output is long and repetitive.
+_END = "(?![0-9A-Za-z_])"
+#: Build, test, install and lint commands, whose output is long and repetitive.
 NOISY = [
-    "(?:npm|pnpm|yarn|bun)\\s+(?:run\\s+)?(?:install|ci|i|test|build|lint|add)",
-    "(?:npx\\s+)?(?:make|cmake|pytest|jest|vitest|mocha|tsc|eslint|webpack|gradle|mvn)",
-    "cargo\\s+(?:build|test|check|clippy|run)",
-    "go\\s+(?:build|test|vet)",
-    "pip3?\\s+install",
-    "python3?\\s+-m\\s+(?:pytest|unittest|pip)",
-    "docker\\s+(?:compose\\s+)?build",
+    f"(?:npm|pnpm|yarn|bun)\\s+(?:(?:run\\s+)?(?:build|test|lint|typecheck|check)(?::[0-9A-Za-z_-]+)*|install|ci|add){_END}",
+    f"(?:make|gmake|ninja|pytest|jest|vitest|ctest|mvn|gradle|\\./gradlew|tsc){_END}",
+    f"(?:cargo|go)\\s+(?:build|test|check|clippy|install){_END}",
+    f"(?:pip3?|uv\\s+pip)\\s+install{_END}",
+    f"python3?\\s+-m\\s+(?:pytest|unittest|pip\\s+install){_END}",
+    f"docker\\s+(?:build|compose\\s+build){_END}",
 ]
+#: What makes more of a command than one plain program, and settings before it.
+UNSAFE = "[|;&<>`$()\\n\\r]"
+ASSIGNED = "^(?:[A-Z_][A-Z0-9_]*=\\S+\\s+)*"
 
 
-def wrap(command: Column, enabled: Column) -> Column:
-    """Whether a command would be run through the folding runner. Leading VAR=value settings are looked past."""
-    bare = F.regexp_replace(T.trimmed(command), "^(?:[A-Za-z_][A-Za-z0-9_]*=\\S*\\s+)+", "")
-    noisy = bare.rlike("^(?:" + "|".join(NOISY) + ")(?![0-9A-Za-z_-])")
-    return cases((~enabled, "off"), (~noisy, "not_noisy"), (command.rlike("[|;&<>`$()\\n]"), "unsafe_shell_syntax"), otherwise="wrapped")
+def wrap(command: Column, enabled: Column, runner: str = "tessera-run") -> Column:
+    """Whether a command would be run through the folding runner, which approves it: only one plain noisy program is.
+
+    Leading VAR=value settings are looked past; an empty command, and one that names the runner, isn't noisy.
+    """
+    said = T.trimmed(F.coalesce(command, F.lit("")))
+    noisy = F.regexp_replace(said, ASSIGNED, "").rlike("^(?:" + "|".join(NOISY) + ")")
+    idle_ = (said == "") | F.contains(said, F.lit(runner))
+    return cases((~enabled, "off"), (idle_, "not_noisy"), (said.rlike(UNSAFE), "unsafe_shell_syntax"), (~noisy, "not_noisy"), otherwise="wrapped")
 
 
 def encoded(command: Column) -> Column:
-    return F.base64(F.encode(command, "UTF-8"))
+    """Base 64 in one line."""
+    return F.translate(F.base64(F.encode(command, "UTF-8")), "\r\n", "")
 
 
 def guidance(prompt: Column, mark: str, text: str) -> Column:
@@ -191,10 +204,17 @@ def detail_budget(level: Column) -> Column:
     return F.when(level == "brief", 1200).when(level == "normal", 3000)
 
 
+#: Signs of development work: a source file's name, words of the work, the same in Korean.
+WORK = [
+    f"\\.(?:py|ts|tsx|js|mjs|cjs|go|rs|java|kt|rb|sh|toml|ya?ml|json|sql){_END}",
+    f"(?i)(?<![0-9A-Za-z_])(?:commit|tests?|TDD|fix|implement|refactor|CI|build|lint){_END}",
+    "구현|수정|테스트|커밋|리팩터|빌드",
+]
+
+
 def is_development(brief: Column) -> Column:
-    """Two of three signs: a source file's name, a work verb in English, one in Korean."""
-    signs = ("(?i)\\.(?:m?[jt]sx?|py|rs|go|java|kt|c|cc|cpp|h|rb|php|sql|sh|ya?ml|toml|json|css|html)(?![0-9A-Za-z_])", "(?i)(?<![A-Za-z])(?:implement|fix|refactor|add|write|test|debug|migrate|build|review)(?![A-Za-z])", "구현|수정|추가|작성|테스트|리팩터|개선|검토")
-    return sum((F.coalesce(brief.rlike(s), F.lit(False)).cast("int") for s in signs), F.lit(0)) >= 2
+    """Two of the three signs of development work."""
+    return sum((F.coalesce(brief.rlike(s), F.lit(False)).cast("int") for s in WORK), F.lit(0)) >= 2
 
 
 def accepted(on_target: Column, items: Column, evidence: Column) -> Column:

@@ -10,8 +10,9 @@ from tessera.operators.lines import numbered_lines
 
 #: Definitions in source code, and top-level keys.
 CODE = (
-    "^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(?:function|class|interface|type|enum|def|fn|func|impl|struct|trait|module|namespace)(?![0-9A-Za-z_])"
+    "^\\s*(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(?:function\\*?|class|interface|type|enum|def|fn|func|impl|struct|trait|module|namespace)(?![0-9A-Za-z_])"
     "|^\\s*(?:export\\s+)?(?:const|let|var)\\s+[0-9A-Za-z_]+\\s*=\\s*(?:async\\s*)?(?:\\(|function|class|\\{|\\[)"
+    "|^\\s*(?:public|private|protected|static)\\s+[0-9A-Za-z_<>\\[\\]]+\\s+[0-9A-Za-z_]+\\s*\\("
 )
 KEY = "^[A-Za-z_\"'][0-9A-Za-z_\"' -]*:\\s*(?:$|[{\\[])"
 ENTRIES = 40

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.plans.queries import BEFORE, COMMANDS
+
+_quoted = lambda xs: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in xs) + "]"
+_BEFORE, _COMMANDS = _quoted(BEFORE), _quoted(COMMANDS)
+
 _WS = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
@@ -194,9 +199,11 @@ SQL = {
         s AS (SELECT t.*, able.conv IS NOT NULL AS able, (before - after) / before AS share FROM t LEFT JOIN able USING (conv))
         SELECT conv, CASE WHEN NOT able THEN 'no_candidates' WHEN share >= 0.25 THEN 'compacted' ELSE 'below_min' END AS stage, before::BIGINT AS before, (CASE WHEN able THEN after ELSE before END)::BIGINT AS after, keep, drop_result, 0::BIGINT AS drop_call, round(CASE WHEN able THEN share ELSE 0 END, 3) AS reduction FROM s""",
     "idle_gaps": f"WITH {_IDLE} SELECT event_id, coalesce(idle, -1) AS idle, coalesce(ttl, -1)::BIGINT AS ttl FROM e",
-    "idle_decisions": f"""WITH {_IDLE}, i AS (SELECT *, lag(idle) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3600 AS nudged FROM e WHERE idle IS NOT NULL)
-        SELECT event_id, CASE WHEN event_type = 'error' THEN 'compacted_since' WHEN idle < coalesce(ttl, 300) THEN 'cache_warm' WHEN tokens < 60000 THEN 'below_min_tokens' WHEN event_type = 'view' THEN 'warned' WHEN nudged THEN 'nudged_already' ELSE 'blocked' END AS decision FROM i""",
-    "resume_decisions": f"WITH {_IDLE} SELECT event_id, CASE WHEN event_type = 'error' THEN 'compact' WHEN idle < coalesce(ttl, 300) THEN 'cache_warm' WHEN tokens < 60000 THEN 'below_min_tokens' WHEN event_type = 'view' THEN 'notify' ELSE 'compact' END AS decision FROM e WHERE idle IS NOT NULL",
+    "idle_decisions": f"""WITH {_IDLE}, i AS (SELECT *, lag(idle) OVER w > 3600 AS nudged, lag(event_type) OVER w = 'purchase' AND idle < 600 AS queued FROM e WHERE idle IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT event_id, CASE WHEN user_id % 17 = 0 THEN 'off' WHEN queued THEN 'compact_queued' WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'compacted_since' ELSE 'blocked' END
+          WHEN idle < coalesce(ttl, 300) AND idle < 7200 THEN 'cache_warm' WHEN tokens < 60000 THEN 'below_min_tokens' WHEN event_type = 'view' THEN 'warned' WHEN nudged THEN 'nudged_already' ELSE 'blocked' END AS decision FROM i""",
+    "resume_decisions": f"""WITH {_IDLE}, r AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'compact' ELSE 'notify' END AS act FROM e WHERE idle IS NOT NULL)
+        SELECT event_id, CASE WHEN user_id % 17 = 0 THEN 'off' WHEN event_type = 'error' THEN act WHEN event_id % 13 = 0 THEN 'no_usage' WHEN NOT ((event_id % 4 > 0 AND idle >= coalesce(ttl, 300)) OR idle >= 7200) THEN 'cache_warm' WHEN tokens < 60000 THEN 'below_min_tokens' ELSE act END AS decision FROM r""",
     "once_per_key": "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 THEN 'denied' ELSE 'repeated' END AS decision FROM events",
     "ttl_as_of": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_value FROM events",
     "read_gate_decisions": f"""WITH a AS (SELECT *, max(CASE WHEN {_ASKED} THEN turn END) OVER (PARTITION BY conv_id) AS asked FROM conversations), b AS (SELECT *, role = 'assistant' AND (asked IS NULL OR turn > asked) AS after FROM a),
@@ -237,10 +244,15 @@ SQL = {
         h AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s')),
         u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM h WHERE was IS NULL OR was <> line)
         SELECT doc_id, pos AS "at", lpad(pos::VARCHAR, 5, ' ') || ': ' || line[1:120] AS entry FROM u WHERE i % greatest(1, ceil(n / 40))::BIGINT = 0""",
-    "development_briefs": r"""WITH b AS (SELECT conv_id, turn, text || CASE WHEN turn % 3 = 0 THEN ' fix app.py' ELSE '' END AS t FROM conversations WHERE role = 'user')
-        SELECT conv_id, turn, regexp_matches(t, '(?i)\.(?:m?[jt]sx?|py|rs|go|java|kt|c|cc|cpp|h|rb|php|sql|sh|ya?ml|toml|json|css|html)\b')::INT + regexp_matches(t, '(?i)\b(?:implement|fix|refactor|add|write|test|debug|migrate|build|review)\b')::INT
-               + regexp_matches(t, '구현|수정|추가|작성|테스트|리팩터|개선|검토')::INT >= 2 AS development FROM b""",
-    "wrap_decisions": """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'off' WHEN event_id % 9 IN (0, 1, 4, 7, 8) THEN 'wrapped' WHEN event_id % 9 IN (3, 6) THEN 'unsafe_shell_syntax' ELSE 'not_noisy' END AS decision FROM events""",
+    "development_briefs": r"""WITH b AS (SELECT conv_id, turn, text || [' fix app.py', ' app.tsx: 수정', ' run the TESTS', ' config.jsonl commit', ' prefix.py', ''][turn % 6 + 1] AS t FROM conversations WHERE role = 'user')
+        SELECT conv_id, turn, regexp_matches(t, '\.(?:py|ts|tsx|js|mjs|cjs|go|rs|java|kt|rb|sh|toml|ya?ml|json|sql)\b')::INT + regexp_matches(t, '(?i)\b(?:commit|tests?|TDD|fix|implement|refactor|CI|build|lint)\b')::INT
+               + regexp_matches(t, '구현|수정|테스트|커밋|리팩터|빌드')::INT >= 2 AS development FROM b""",
+    "wrap_decisions": rf"""WITH c AS (SELECT event_id, trim({_BEFORE}[(event_id // {len(COMMANDS)}) % {len(BEFORE)} + 1] || {_COMMANDS}[event_id % {len(COMMANDS)} + 1], ' ') AS said FROM events),
+        s AS (SELECT *, regexp_replace(said, '^([A-Z_][A-Z0-9_]*=\S+\s+)*', '') AS plain FROM c)
+        SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'off' WHEN said = '' OR contains(said, 'tessera-run') THEN 'not_noisy' WHEN regexp_matches(said, '[|;&<>`$()\n\r]') THEN 'unsafe_shell_syntax'
+          WHEN regexp_matches(plain, '^(npm|pnpm|yarn|bun)\s+((run\s+)?(build|test|lint|typecheck|check)(:[\w-]+)*|install|ci|add)\b') OR regexp_matches(plain, '^(make|gmake|ninja|pytest|jest|vitest|ctest|mvn|gradle|\./gradlew|tsc)\b')
+            OR regexp_matches(plain, '^(cargo|go)\s+(build|test|check|clippy|install)\b') OR regexp_matches(plain, '^(pip3?|uv\s+pip)\s+install\b') OR regexp_matches(plain, '^python3?\s+-m\s+(pytest|unittest|pip\s+install)\b')
+            OR regexp_matches(plain, '^docker\s+(build|compose\s+build)\b') THEN 'wrapped' ELSE 'not_noisy' END AS decision FROM s""",
     "request_batches": """
         WITH RECURSIVE t AS (SELECT conv_id, turn, ceil(length(text) / 4)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
         w AS (
@@ -248,7 +260,7 @@ SQL = {
           UNION ALL
           SELECT t.conv_id, t.turn, t.r, CASE WHEN w.used > 0 AND w.used + t.n > 300 THEN t.n ELSE w.used + t.n END, w.batch + CASE WHEN w.used > 0 AND w.used + t.n > 300 THEN 1 ELSE 0 END FROM w JOIN t ON t.conv_id = w.conv_id AND t.r = w.r + 1
         ) SELECT conv_id, turn, batch FROM w""",
-    "archive_ids": "SELECT doc_id, sha256(text)[1:16] AS archive_id, base64(encode(text[1:20])) AS encoded FROM documents",
+    "archive_ids": "SELECT doc_id, sha256(text)[1:16] AS archive_id, sha256(base64(encode(text))) AS encoded_sha FROM documents",
     "instructions_before": """
         SELECT event_id, first_value, last_value FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS first_value, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS last_value
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE event_type = 'error'""",

@@ -157,16 +157,21 @@ def idle_gaps(spark, d):
     return _idle(spark, d).select("event_id", *(F.coalesce(F.col(c), F.lit(-1)).cast("long").alias(c) for c in ("idle", "ttl")))
 
 
+#: Idle time that ends the cache in the queries of sessions that are taken up again.
+COLD = ladders.Settings(timing_expired_after=7200.0)
+
+
 def idle_decisions(spark, d):
+    """A purchase queues a compaction, an error undoes one; every second error comes after a new one."""
     rows = _idle(spark, d).where("idle is not null")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = rows.withColumns({"enabled": F.lit(True), "queued_ago": F.lit(None).cast("long"), "compacted_since": F.col("event_type") == "error", "warn_only": F.col("event_type") == "view", "nudged": F.lag("idle").over(w) > 3600})
-    return rows.select("event_id", ladders.idle().alias("decision"))
+    rows = rows.withColumns({"enabled": F.col("user_id") % 17 != 0, "queued_ago": F.when(F.lag("event_type").over(w) == "purchase", F.col("idle")), "lost": F.col("event_type") == "error", "compacted_since": F.col("event_id") % 2 == 0, "warn_only": F.col("event_type") == "view", "nudged": F.lag("idle").over(w) > 3600})
+    return rows.select("event_id", ladders.idle(COLD).alias("decision"))
 
 
 def resume_decisions(spark, d):
-    rows = _idle(spark, d).where("idle is not null").withColumns({"enabled": F.lit(True), "lost": F.col("event_type") == "error", "notify": F.col("event_type") == "view"})
-    return rows.select("event_id", ladders.resume().alias("decision"))
+    rows = _idle(spark, d).where("idle is not null").withColumns({"enabled": F.col("user_id") % 17 != 0, "lost": F.col("event_type") == "error", "headless": F.col("event_id") % 3 == 0, "expired": F.when(F.col("event_id") % 4 > 0, F.col("idle") >= F.coalesce("ttl", F.lit(300))), "tokens": F.when(F.col("event_id") % 13 > 0, F.col("tokens"))})
+    return rows.select("event_id", ladders.resume(COLD).alias("decision"))
 
 
 def once_per_key(spark, d):
@@ -287,15 +292,23 @@ def document_outline(spark, d):
     return outlines.outline(_docs(spark, d).withColumn("text", F.regexp_replace("text", "(?m)^[A-ZÉÈÊÇÑÓÄÖÜ]\\w*\\.?$", "# heading")), "doc_id", markdown=F.lit(True))
 
 
+COMMANDS = [
+    "npm test", "npm run build:web", "pnpm install --frozen", "yarn add x", "bun testing", "ls -la", "pytest -q | tail", "cargo clippy", "cargo run", "go vet", "git status", "make all && ls", "gmake -j8",
+    "ninja", "ctest", "./gradlew build", "uv pip install x", "pip3 install x", "docker build .", "docker compose build", "docker compose up", "python3 -m pytest", "python -m pip install x", "python -m pip list",
+    "npx jest", "jest $(pwd)", "makefoo", "tsc\nls", "ls | wc -l", "npm run typecheck", "tessera-run npm test", "  ",
+]
+BEFORE = ["", "CI=1 ", "A_B=x C=2 ", "ci=1 ", "A= ", " "]
+
+
 def wrap_decisions(spark, d):
-    kinds = ["npm test", "CI=1 npm run build", "ls -la", "pytest -q | tail", "cargo build", "git status", "make all && ls", "docker build .", "python3 -m pytest"]
-    command = F.get(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds)).cast("int"))
+    of = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (n % len(xs)).cast("int"))
+    command = F.concat(of(BEFORE, F.floor(F.col("event_id") / len(COMMANDS))), of(COMMANDS, F.col("event_id")))
     return table(spark, d, "events").select("event_id", ladders.wrap(command, F.col("event_id") % 50 != 0).alias("decision"))
 
 
 def development_briefs(spark, d):
-    text = F.concat("text", F.when(F.col("turn") % 3 == 0, " fix app.py").otherwise(""))
-    return _conv(spark, d).where("role = 'user'").select("conv_id", "turn", ladders.is_development(text).alias("development"))
+    more = F.get(F.array(*map(F.lit, [" fix app.py", " app.tsx: 수정", " run the TESTS", " config.jsonl commit", " prefix.py", ""])), (F.col("turn") % 6).cast("int"))
+    return _conv(spark, d).where("role = 'user'").select("conv_id", "turn", ladders.is_development(F.concat("text", more)).alias("development"))
 
 
 def request_batches(spark, d):
@@ -304,7 +317,7 @@ def request_batches(spark, d):
 
 
 def archive_ids(spark, d):
-    return _docs(spark, d).select("doc_id", T.archive_id(F.col("text")).alias("archive_id"), ladders.encoded(F.substring("text", 1, 20)).alias("encoded"))
+    return _docs(spark, d).select("doc_id", T.archive_id(F.col("text")).alias("archive_id"), F.sha2(ladders.encoded(F.col("text")), 256).alias("encoded_sha"))
 
 
 def instructions_before(spark, d):

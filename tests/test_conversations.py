@@ -194,13 +194,16 @@ def test_ladders(spark):
     assert decide(spark, ladders.read_gate(), rows, s) == ["off", "subagent", "not_a_sized_read", "unknown_size", "below_threshold", "repeated", "no_intent", "no_score", "needed", "denied"]
     long = "# Summary\nshort\n# Details\n" + "x" * 4000
     assert decide(spark, ladders.report_guard(), [(long, False), ("x" * 3000, True), ("x" * 3001, False), ("x" * 3001, True)], "report string, asked boolean") == ["split", "within_budget", "asked", "already_asked"]
-    s = "enabled boolean, queued_ago long, compacted_since boolean, tokens long, idle long, ttl long, warn_only boolean, nudged boolean"
-    rows = [(True, 600, False, 90_000, 999, None, False, False), (True, 601, True, 90_000, 999, None, False, False), (True, None, None, None, 999, None, False, False), (True, None, False, 90_000, 299, None, False, False), (True, None, False, 59_999, 300, None, False, False), (True, None, False, 60_000, 300, None, True, True), (True, None, False, 60_000, 300, None, False, True), (True, None, False, 60_000, 3600, 3600, False, None)]
-    assert decide(spark, ladders.idle(), rows, s) == ["compact_queued", "compacted_since", "no_usage", "cache_warm", "below_min_tokens", "warned", "nudged_already", "blocked"]
-    s = "enabled boolean, lost boolean, tokens long, idle long, ttl long, notify boolean"
-    assert decide(spark, ladders.resume(), [(False, True, 1, 1, 1, True), (True, True, 1, 1, 1, True), (True, False, None, 1, 1, True), (True, False, 70_000, 9, 10, True), (True, False, 7, 10, 10, True), (True, False, 70_000, 10, 10, True), (True, False, 70_000, 10, 10, False)], s) == ["off", "compact", "no_usage", "cache_warm", "below_min_tokens", "notify", "compact"]
-    rows = [(c,) for c in ("npm test", "A=1 B=2 npm run build", "ls", "pytest | tail", "makefoo", "make -j8")]
-    assert decide(spark, ladders.wrap(F.col("c"), F.lit(True)), rows, "c string") == ["wrapped", "wrapped", "not_noisy", "unsafe_shell_syntax", "not_noisy", "wrapped"]
+    s = "enabled boolean, queued_ago long, lost boolean, compacted_since boolean, tokens long, idle long, ttl long, warn_only boolean, nudged boolean"
+    rows = [(False, 1, True, True, 90_000, 999, None, False, False), (True, 599, False, False, 90_000, 999, None, False, False), (True, 600, True, True, 90_000, 999, None, False, False), (True, None, True, False, 1, 1, None, False, True), (True, None, None, None, None, 999, None, False, False), (True, 600, False, False, 90_000, 299, None, False, False), (True, None, True, True, 90_000, 299, None, True, False), (True, None, False, False, 59_999, 300, None, False, False), (True, None, False, False, 60_000, 300, None, True, True), (True, None, False, False, 60_000, 300, None, False, True), (True, None, False, True, 60_000, 3600, 3600, False, None)]
+    assert decide(spark, ladders.idle(), rows, s) == ["off", "compact_queued", "compacted_since", "blocked", "no_usage", "cache_warm", "cache_warm", "below_min_tokens", "warned", "nudged_already", "blocked"]
+    assert decide(spark, ladders.idle(ladders.Settings(timing_expired_after=200.0)), rows[5:6], s) == ["blocked"] and decide(spark, ladders.idle(ladders.Settings(timing_ttl=9999)), rows[-1:], s) == ["cache_warm"]
+    s = "enabled boolean, lost boolean, headless boolean, tokens long, idle long, expired boolean"
+    rows = [(False, True, True, 1, 1, True), (True, True, True, 1, 1, False), (True, True, False, 1, 1, False), (True, False, True, None, 1, True), (True, False, True, 70_000, 9, False), (True, None, True, 70_000, 9, None), (True, False, True, 7, 10, True), (True, False, False, 70_000, 10, True), (True, False, True, 70_000, 10, True)]
+    assert decide(spark, ladders.resume(), rows, s) == ["off", "compact", "notify", "no_usage", "cache_warm", "cache_warm", "below_min_tokens", "notify", "compact"]
+    assert decide(spark, ladders.resume(ladders.Settings(timing_expired_after=9.0)), rows[4:6], s) == ["compact", "compact"]
+    rows = [(c,) for c in ("npm test", "A=1 B=2 npm run build", "ls", "pytest | tail", "makefoo", "make -j8", "ls | wc -l", "a=1 make", "A= make", "npm run check:types", "npm testing", "tsc\rx", None, "tessera-run make", "go vet")]
+    assert decide(spark, ladders.wrap(F.col("c"), F.lit(True)), rows, "c string") == ["wrapped", "wrapped", "not_noisy", "unsafe_shell_syntax", "not_noisy", "wrapped", "unsafe_shell_syntax", "not_noisy", "not_noisy", "wrapped", "not_noisy", "unsafe_shell_syntax", "not_noisy", "not_noisy", "not_noisy"]
     assert decide(spark, ladders.is_development(F.col("c")), [("fix app.py",), ("fix it",), ("app.py 수정",)], "c string") == [True, False, True]
     assert decide(spark, ladders.guidance(F.col("c"), "[mark]", "do so"), [("x",), ("x [mark]",)], "c string") == ["x\n\n[mark]\ndo so", "x [mark]"]
     assert ladders.Settings.from_env({"TESSERA_GATE_LINES": "7", "TESSERA_GATE_P": "x"}).gate_lines == 7 and ladders.shorten_limit() == 1500
@@ -227,6 +230,9 @@ def test_outline(spark):
     got = outlines.outline(df, "id", markdown=F.col("md")).orderBy("id", "at").collect()
     assert [r.entry for r in got if r.id == 0] == [f"{i * 50 + 1:5}: # Part {i}" for i in range(7)]
     assert [r["at"] for r in got if r.id == 1] == [3, 4, 7, 8]
+    java = "public static void main(String[] a) {\n  private List<int[]> rows(int n) {\nfunction* steps() {\nfunctional(x)\nprotected final int x = 1"
+    got3 = outlines.outline(spark.createDataFrame([(3, False, java)], "id long, md boolean, text string"), "id", markdown=F.col("md")).orderBy("at").collect()
+    assert [r["at"] for r in got3] == [2, 3]
     assert len([r for r in got if r.id == 2]) == 34
 
 

@@ -160,6 +160,9 @@ def test_prune_stages(spark):
     assert [got[i].stage for i in range(7)] == ["fold", "nothing_to_fold", "document", "small", "binary", "nothing_to_fold", "small"]
     assert got[0].visible_chars == len(got[0].visible) < 0.25 * len(log) and "archive/0" in got[0].visible
     assert {r.id: r.stage for r in ladders.prune_stages(df, "id", command="command", budget=50).collect()}[0] == "not_enough_saving"
+    lost = {r.id: r for r in ladders.prune_stages(df, "id", command="command", failed=F.lit(True)).collect()}
+    assert lost[0].stage == "archive_failed" and lost[0].visible is None and lost[0].visible_chars == lost[0].source_chars
+    assert {i: r.stage for i, r in lost.items() if i} == {i: r.stage for i, r in got.items() if i}
 
 
 def test_synthetic_log_and_archive(spark, tmp_path):

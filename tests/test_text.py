@@ -31,6 +31,8 @@ def one(spark, value, function, kind="string"):
         (T.items_of, "- first thing to do\n* second thing to do", ["first thing to do", "second thing to do"]),
         (T.items_of, "\n".join(f"{i}. thing number {i} to do" for i in range(9)), []),
         (T.items_of, "nothing", []),
+        (T.items_of, "• first thing to do\n- second thing to do", ["first thing to do", "second thing to do"]),
+        (T.items_of, "(1) first thing to do\n② second thing to do\n123. not an item of a list", ["first thing to do", "second thing to do"]),
         (T.tokens_of, "abcdef 123 12 deadbee 가나다 x", ["abcdef", "123", "deadbee", "가나다"]),
         (T.archive_id, "a", "ca978112ca1bbdca"),
     ],
