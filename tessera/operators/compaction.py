@@ -49,13 +49,32 @@ def dropped_topics(found: DataFrame, scores: DataFrame, conf: Settings = DEFAULT
     return found.join(scores, ["conv", "exchange"]).where(F.col("closed") >= conf.topic_drop).drop("closed")
 
 
-def topic_notes(dropped: DataFrame, messages: DataFrame, left: DataFrame) -> DataFrame:
-    """(conv, idx, note): what is said of a dropped topic, at the next message that stays, if there is one."""
+#: Characters of standout lines in a note.
+NOTE_LINES = 600
+
+
+def topic_notes(dropped: DataFrame, messages: DataFrame, left: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """(conv, idx, note): what is said of a dropped topic, at the next message that stays, if there is one.
+
+    A note has the topic's opening words and, of the results in it, the lines that stood out, newest first.
+    """
     m = messages.select(F.col("conv").alias("_conv"), F.col("idx").alias("_idx"), F.col("text").alias("_text"))
     opening = dropped.join(m, (F.col("conv") == F.col("_conv")) & (F.col("_idx") == F.col("start"))).select("conv", "exchange", "stop", F.substring(T.trimmed(F.regexp_replace("_text", "\\s+", " ")), 1, 120).alias("opening"))
     after = left.select(F.col("conv").alias("_conv"), F.col("idx").alias("_idx"))
     at = opening.join(after, (F.col("conv") == F.col("_conv")) & (F.col("_idx") > F.col("stop"))).groupBy("conv", "exchange", "opening").agg(F.min("_idx").alias("idx"))
-    return at.select("conv", "idx", "exchange", F.concat(F.lit("[an earlier exchange was left out, its topic is closed; it began: \""), "opening", F.lit("\"]")).alias("note"))
+    head = F.concat(F.lit("[an earlier exchange was left out, its topic is closed; it began: \""), "opening", F.lit("\""))
+    if calls is None:
+        return at.select("conv", "idx", "exchange", F.concat(head, F.lit("]")).alias("note"))
+    inside = calls.select(F.col("conv").alias("_conv"), "call_id", "result_idx", "result").where("result is not null and result <> ''")
+    outputs = dropped.join(inside, (F.col("conv") == F.col("_conv")) & F.col("result_idx").between(F.col("start"), F.col("stop")))
+    outputs = outputs.select(F.struct("conv", "exchange", "result_idx", "call_id").alias("_key"), "result")
+    rare = lines.standouts(outputs, "_key", "result").select(F.struct("_key.conv", "_key.exchange").alias("_topic"), F.struct("_key.result_idx", "_key.call_id").alias("_output"), "pos", "line")
+    ranked = rare.withColumn("at", F.dense_rank().over(Window.partitionBy("_topic").orderBy("_output")).cast("long")).drop("_output")
+    picked = budgets.pick_standouts(ranked, "_topic", "at", NOTE_LINES)
+    said = picked.groupBy("_topic").agg(F.sort_array(F.collect_list(F.struct((-F.col("at")).alias("newest"), "pos", "line"))).alias("_lines"))
+    said = said.select("_topic.*", F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("_said"))
+    more = F.coalesce(F.concat(F.lit(". Lines that stood out in its output:\n"), F.col("_said")), F.lit(""))
+    return at.join(said, ["conv", "exchange"], "left").select("conv", "idx", "exchange", F.concat(head, more, F.lit("]")).alias("note"))
 
 
 def kept_results(decided: DataFrame, head_chars: int = 300, conf: Settings = DEFAULTS) -> DataFrame:
@@ -120,7 +139,7 @@ def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic
     used = decided.where("action <> 'drop_call'").select("conv", F.col("call_idx").alias("idx")).distinct().withColumn("_calls", F.lit(True))
     empty = (F.col("role") == "assistant") & T.is_blank(F.col("text"))
     left = left.join(used, ["conv", "idx"], "left").where(~empty | F.col("_calls").isNotNull()).drop("_calls")
-    notes = topic_notes(gone, messages, left) if topic_scores is not None else messages.select("conv", "idx", F.lit(0).alias("exchange"), F.lit("").alias("note")).where("false")
+    notes = topic_notes(gone, messages, left, calls) if topic_scores is not None else messages.select("conv", "idx", F.lit(0).alias("exchange"), F.lit("").alias("note")).where("false")
     chars = lambda df, *c: df.groupBy("conv").agg(F.sum(sum((F.length(F.coalesce(x, F.lit(""))) for x in c), F.lit(0))).alias("n"))
     before = chars(messages, "text").unionByName(chars(calls, "result", "input")).groupBy("conv").agg(F.sum("n").alias("before"))
     rest = chars(left, "text").unionByName(chars(after, "result_after", "input_after")).unionByName(chars(notes, "note")).groupBy("conv").agg(F.sum("n").alias("after"))

@@ -1,8 +1,8 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from tessera.plans.oracle import SQL as ORACLE_SQL
-from tessera.plans.queries import QUERIES
+from tessera.plans import histories, histories_oracle, oracle, queries
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES = queries.QUERIES | histories.QUERIES
+ORACLE_SQL = oracle.SQL | histories_oracle.SQL

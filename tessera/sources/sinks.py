@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -16,14 +16,34 @@ def append_decisions(df: DataFrame, path: str) -> None:
 def archived(df: DataFrame, text: str, path: str) -> DataFrame:
     """df with archive_id, after the originals were written under it; if the write fails, nothing is folded.
 
-    The same text has the same id, and is written once.
+    The same text has the same id, and is written once, however many calls bring it.
     """
+    spark = df.sparkSession
     out = df.withColumn("archive_id", T.archive_id(F.col(text)))
-    out.select("archive_id", F.col(text).alias("original")).dropDuplicates(["archive_id"]).write.mode("append").parquet(path)
+    new = out.select("archive_id", F.col(text).alias("original")).dropDuplicates(["archive_id"])
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = new.join(spark.read.parquet(path).select("archive_id"), "archive_id", "left_anti")
+    new.write.mode("append").parquet(path)
     return out
 
 
-def state_key(name: str):
+def latest_state(changes: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """(key, value) that a log of writes leaves: the last of each key; a null value clears it."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    return last.select(key, F.col(f"_last.{value}").alias(value)).where(F.col(value).isNotNull())
+
+
+def write_state(changes: DataFrame, path: str, key: str, order: list[str], value: str) -> None:
+    """Appends writes and clears to the log of a keyed state."""
+    changes.select(key, F.struct(*order).alias("at"), value).write.mode("append").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    return latest_state(spark.read.parquet(path), key, ["at"], value)
+
+
+def state_key(name: str | Column) -> Column:
     return F.regexp_replace(name, "[^0-9A-Za-z_.-]", "_")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import checkpointed
+
 RESULT_CHARS = 4000
 BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:variant,tool_use_id:string,content:variant,is_error:boolean>>"
 
@@ -33,19 +35,27 @@ def get(v: Column | str, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(F.col(v) if isinstance(v, str) else v, path, kind)
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(file, changed) of the files below root, by their names and times alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files.select(F.col("path").alias("file"), F.col("modificationTime").alias("changed"))
+
+
 def newest_file(spark: SparkSession, root: str) -> DataFrame:
     """(file) of the last changed file below root."""
-    files = spark.read.option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"))
-    return files.agg(F.max_by("file", F.struct("changed", "file")).alias("file"))
+    return listed(spark, root).agg(F.max_by("file", F.struct("changed", "file")).alias("file"))
 
 
-def find_rollout(files: DataFrame, near: str, thread: str) -> DataFrame:
-    """(file) whose name ends with the thread's id: beside ``near`` first, else anywhere up to three folders deep below it."""
+def find_rollout(files: DataFrame, near: str, thread: str, root: str = "/sessions", depth: int = 3) -> DataFrame:
+    """(file) whose name ends with the thread's id: beside ``near`` first, else up to three folders below the root folder
+    that near lies in, the first by name. Without such a root near's folder stands in for it."""
     folder = near.rsplit("/", 1)[0]
-    rest = F.substring("file", len(folder) + 2, 10_000)
-    depth = F.size(F.split(rest, "/")) - 1
-    own = files.where(F.col("file").startswith(folder + "/") & F.col("file").rlike(f"{thread}\\.jsonl$") & (depth <= 3))
-    return own.agg(F.min_by("file", F.struct(depth, "file")).alias("file")).where("file is not null")
+    above = folder[: folder.rfind(root) + len(root)] if root in folder else folder
+    named = files.where(F.col("file").endswith(f"-{thread}.jsonl"))
+    beside = F.regexp_extract("file", "^(.*)/", 1) == folder
+    levels = F.size(F.split(F.substring("file", len(above) + 2, 10_000), "/")) - 1
+    below = F.col("file").startswith(above + "/") & (levels <= depth)
+    return named.where(beside | below).agg(F.min_by("file", F.struct(~beside, "file")).alias("file")).where("file is not null")
 
 
 # -- entries ----------------------------------------------------------------------------------------------------
@@ -84,6 +94,12 @@ def one_message(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "msg").agg(F.first("role").alias("role"), F.min("pos").alias("pos"), F.flatten(F.transform(parts, lambda p: p["blocks"])).alias("blocks"))
 
 
+def text_of(blocks: Column) -> Column:
+    """The text blocks of a message, one to a line."""
+    said = F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit("")))
+    return F.aggregate(said, F.lit(""), lambda all_, t: F.when(all_ == "", t).otherwise(F.concat(all_, F.lit("\n"), t)))
+
+
 def calls(rows: DataFrame) -> DataFrame:
     """(file, pos, call_id, tool, input) of the calls in messages."""
     return rows.select("file", "pos", F.explode("blocks").alias("b")).where("b.type = 'tool_use'").select("file", "pos", F.col("b.id").alias("call_id"), F.col("b.name").alias("tool"), F.col("b.input").alias("input"))
@@ -100,21 +116,35 @@ def results(rows: DataFrame) -> DataFrame:
 def described(tool: Column, given: Column) -> Column:
     """A call's label: its tool and first detail, cut to 200."""
     detail = F.coalesce(*(F.get_json_object(given, f"$.{k}") for k in ("command", "file_path", "pattern", "url", "description")), F.lit(""))
-    return F.trim(F.concat_ws(" ", tool, F.substring(detail, 1, 200)))
+    return F.concat(tool, F.when(detail == "", "").otherwise(F.concat(F.lit(" "), F.substring(detail, 1, 200))))
 
 
 def joined_results(found_calls: DataFrame, found_results: DataFrame) -> DataFrame:
     """Each result with its call's tool and label; the call must stand before it, else the tool is ?."""
     made = found_calls.select("file", F.col("call_id").alias("_id"), F.col("pos").alias("_pos"), "tool", described(F.col("tool"), F.col("input")).alias("command"))
-    made = made.withColumn("_n", F.row_number().over(Window.partitionBy("file", "_id").orderBy("_pos"))).where("_n = 1").drop("_n").withColumnRenamed("file", "_file")
-    on = (F.col("file") == F.col("_file")) & (F.col("call_id") == F.col("_id")) & (F.col("_pos") < F.col("pos"))
+    made = made.withColumn("_until", F.lead("_pos").over(Window.partitionBy("file", "_id").orderBy("_pos"))).withColumnRenamed("file", "_file")
+    on = (F.col("file") == F.col("_file")) & (F.col("call_id") == F.col("_id")) & (F.col("_pos") < F.col("pos")) & (F.col("_until").isNull() | (F.col("_until") >= F.col("pos")))
     out = found_results.join(made, on, "left")
-    return out.select("file", "pos", "call_id", F.coalesce("tool", F.lit("?")).alias("tool"), F.coalesce("command", F.lit("")).alias("command"), "text", "clipped", "is_error")
+    return out.select("file", "pos", "call_id", F.coalesce("tool", F.lit("?")).alias("tool"), F.coalesce("command", F.lit("?")).alias("command"), "text", "clipped", "is_error")
 
 
 def outputs_by_id(found_results: DataFrame) -> DataFrame:
-    """(file, call_id, text): the last result of each call."""
-    return found_results.groupBy("file", "call_id").agg(F.max_by("text", "pos").alias("text"))
+    """(file, call_id, text, result_pos): the last result of each call."""
+    return found_results.groupBy("file", "call_id").agg(F.max_by("text", "pos").alias("text"), F.max("pos").alias("result_pos"))
+
+
+def answered(found_calls: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(file, pos, call_id, tool, input, text, result_pos): calls with the whole text of their result; others are left out.
+
+    outputs: (file, call_id, text, result_pos), one row for a call.
+    """
+    return found_calls.join(outputs, ["file", "call_id"]).select("file", "pos", "call_id", "tool", "input", "text", "result_pos")
+
+
+def without_carried(found_results: DataFrame, carried: DataFrame) -> DataFrame:
+    """Results for the rule picker: the text of those that are carried whole (file, call_id) is blank, their places stay."""
+    marked = found_results.join(carried.select("file", "call_id").distinct().withColumn("_carried", F.lit(True)), ["file", "call_id"], "left")
+    return marked.withColumn("text", F.when(F.col("_carried"), "").otherwise(F.col("text"))).drop("_carried")
 
 
 def usage(entries: DataFrame) -> DataFrame:
@@ -125,32 +155,34 @@ def usage(entries: DataFrame) -> DataFrame:
     u = "$.message.usage"
     part = lambda p: F.coalesce(get("v", f"{u}.{p}", "long"), F.lit(0))
     total = part("input_tokens") + part("cache_read_input_tokens") + part("cache_creation_input_tokens") + part("output_tokens")
-    real = entries.where((get("v", "$.type") == "assistant") & (get("v", "$.message.model") != "<synthetic>") & F.try_variant_get("v", u, "variant").isNotNull())
+    real = (get("v", "$.type") == "assistant") & ~F.coalesce(get("v", "$.message.model") == "<synthetic>", F.lit(False)) & F.try_variant_get("v", u, "variant").isNotNull()
     hour, five = part("cache_creation.ephemeral_1h_input_tokens"), part("cache_creation.ephemeral_5m_input_tokens")
-    rows = real.select("file", "pos", total.alias("tokens"), F.try_to_timestamp(get("v", "$.timestamp")).alias("at"), F.when(hour > 0, 3600).when(five > 0, 300).alias("ttl"))
-    return rows.groupBy("file").agg(F.max_by("tokens", "pos").alias("tokens"), F.max_by("at", "pos").alias("at"), F.max_by("ttl", F.when(F.col("ttl").isNotNull(), F.col("pos"))).alias("ttl"))
+    rows = entries.select("file", "pos", F.coalesce(real, F.lit(False)).alias("real"), total.alias("tokens"), F.try_to_timestamp(get("v", "$.timestamp")).alias("at"), F.when(hour > 0, 3600).when(five > 0, 300).alias("ttl"))
+    rows = rows.withColumn("last", F.max(F.when(F.col("real"), F.col("pos"))).over(Window.partitionBy("file"))).where("pos <= last")
+    own = lambda c: F.max(F.when(F.col("pos") == F.col("last"), F.col(c)))
+    return rows.groupBy("file").agg(own("tokens").alias("tokens"), own("at").alias("at"), F.max_by("ttl", F.when(F.col("ttl").isNotNull(), F.col("pos"))).alias("ttl"))
 
 
-def lost_compaction(lines: DataFrame, hops: int = 10_000) -> DataFrame:
-    """(file, lost): whether the parents of the newest entry lead past the last compaction to something before it.
+def lost_compaction(lines: DataFrame) -> DataFrame:
+    """(file, lost): whether the parents of the newest message lead past the last compaction to something before it.
 
-    A recursive walk from child to parent; it ends at a root, at the compaction, and at an entry seen before.
+    Each entry after the compaction points at its parent, then at its parent's parent, and so on by doubling, so a
+    chain of n entries takes log n rounds. A root, the compaction itself, a missing parent and a cycle end the walk.
     """
-    spark = lines.sparkSession
-    nodes = lines.select("file", "pos", get("v", "$.uuid").alias("uuid"), get("v", "$.parentUuid").alias("parent"), ((get("v", "$.type") == "system") & (get("v", "$.subtype") == "compact_boundary")).alias("mark"), F.coalesce(get("v", "$.isSidechain", "boolean"), F.lit(False)).alias("side"))
-    nodes.where("uuid is not null").createOrReplaceTempView("_chain_nodes")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE bounds AS (SELECT file, max(pos) FILTER (WHERE mark) AS edge, max(pos) FILTER (WHERE NOT side AND NOT coalesce(mark, false)) AS newest FROM _chain_nodes GROUP BY file),
-        walk(file, pos, parent, edge, hop) MAX RECURSION LEVEL {hops} AS (
-          SELECT n.file, n.pos, n.parent, b.edge, 0 FROM _chain_nodes n JOIN bounds b ON n.file = b.file AND n.pos = b.newest WHERE b.edge IS NOT NULL AND b.newest > b.edge
-          UNION ALL
-          SELECT n.file, n.pos, n.parent, w.edge, w.hop + 1 FROM walk w JOIN _chain_nodes n ON n.file = w.file AND n.uuid = w.parent
-          WHERE w.pos > w.edge AND n.pos < w.pos
-        )
-        SELECT b.file, coalesce(bool_or(w.pos < w.edge), false) AS lost FROM bounds b LEFT JOIN walk w ON b.file = w.file GROUP BY b.file
-        """
-    )
+    kind, uuid = get("v", "$.type"), get("v", "$.uuid")
+    mark = (kind == "system") & (get("v", "$.subtype") == "compact_boundary")
+    nodes = lines.select("file", "pos", uuid.alias("uuid"), get("v", "$.parentUuid").alias("parent"), mark.alias("mark"), (uuid.isNotNull() & kind.isin("user", "assistant")).alias("said"))
+    bounds = checkpointed(nodes.groupBy("file").agg(F.max(F.when(F.col("mark"), F.col("pos"))).alias("edge"), F.coalesce(F.max(F.when(F.col("said"), F.col("pos"))), F.lit(-1)).alias("newest")))
+    at = nodes.where("uuid is not null").groupBy("file", "uuid").agg(F.max("pos").alias("to")).withColumnRenamed("uuid", "parent")
+    after = nodes.join(bounds.where("edge is not null").select("file", "edge"), "file").where("pos > edge")
+    hops = checkpointed(after.join(at, ["file", "parent"], "left").select("file", "pos", "to"))
+    longest = hops.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        following = hops.select("file", F.col("pos").alias("to"), F.col("to").alias("_next"), F.lit(True).alias("_on"))
+        hops = checkpointed(hops.join(following, ["file", "to"], "left").select("file", "pos", F.when(F.col("_on"), F.col("_next")).otherwise(F.col("to")).alias("to")))
+    ends = hops.select("file", F.col("pos").alias("newest"), "to")
+    out = bounds.join(ends, ["file", "newest"], "left")
+    return out.select("file", F.coalesce((F.col("newest") < F.col("edge")) | (F.col("to") < F.col("edge")), F.lit(False)).alias("lost"))
 
 
 # -- rollouts ---------------------------------------------------------------------------------------------------
@@ -254,7 +286,8 @@ def rollout_messages(lines: DataFrame) -> DataFrame:
 def rollout_report(lines: DataFrame, fallback: str = "") -> DataFrame:
     """(file, report): the last assistant message, or the fallback where that is longer."""
     said = rollout_items(lines).where("kind = 'message' and role = 'assistant'").groupBy("file").agg(F.max_by("text", "pos").alias("report"))
-    return said.withColumn("report", F.when(F.length("report") >= len(fallback), F.col("report")).otherwise(F.lit(fallback)))
+    rows = lines.select("file").distinct().join(said, "file", "left")
+    return rows.withColumn("report", F.when(F.length("report") >= len(fallback), F.col("report")).otherwise(F.lit(fallback)))
 
 
 def rollout_stats(lines: DataFrame) -> DataFrame:
