@@ -34,8 +34,17 @@ def next_within(df: DataFrame, key: str, order: list[str], start, target, value:
     return rows.withColumn(f"next_{value}", found).where("_start").drop("_n", "_start", "_hit", "_stop", "_found", "_end")
 
 
-def following(df: DataFrame, key: str, order: list[str], start, group: str, groups: int, value: str) -> DataFrame:
-    """(key, order..., later): for each row where start holds, the values of the next distinct groups after its own."""
-    rows = df.withColumn("_g", F.dense_rank().over(Window.partitionBy(key).orderBy(group)))
-    w = Window.partitionBy(key).orderBy("_g").rangeBetween(1, groups)
-    return rows.withColumn("later", F.collect_list(value).over(w)).where(start).drop("_g")
+def following(df: DataFrame, key: str, order: list[str], start, group: str, groups: int, value: str, cut=None) -> DataFrame:
+    """(key, order..., later): for each row where start holds, the values of the next distinct groups after its own.
+
+    cut: nothing from the first later row on where it holds (its own row doesn't count).
+    """
+    w = Window.partitionBy(key)
+    rows = df.withColumn("_g", F.dense_rank().over(w.orderBy(group)))
+    ahead = w.orderBy("_g").rangeBetween(1, groups)
+    if cut is None:
+        return rows.withColumn("later", F.collect_list(value).over(ahead)).where(start).drop("_g")
+    rows = rows.withColumn("_cut", F.min(F.when(cut, F.col("_g"))).over(w.orderBy("_g").rangeBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("_later", F.collect_list(F.struct("_g", F.col(value).alias("v"))).over(ahead))
+    kept = F.filter("_later", lambda x: F.col("_cut").isNull() | (x["_g"] < F.col("_cut")))
+    return rows.withColumn("later", F.transform(kept, lambda x: x["v"])).where(start).drop("_g", "_cut", "_later")

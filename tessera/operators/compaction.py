@@ -161,6 +161,20 @@ def topic_question(start: Column, stop: Column, opening: Column) -> Column:
     return F.format_string("Has the user closed the topic of messages %d to %d, which began: %s", start, stop, F.substring(opening, 1, 200))
 
 
+def refusal(file: Column, request: Column, total: Column, p: Column, entries: Column) -> Column:
+    """What the reader of too large a range is told: how large it is, the outline, and a smaller read as an example.
+
+    request: struct(from_line, to_line, lines); entries: the outline's lines, as an array.
+    """
+    line = F.trim(F.split(F.get(entries, F.lit(1)), ":")[0]).cast("long")
+    first = F.coalesce(line, F.lit(1))
+    stop = F.when(line.isNotNull(), F.least(total, line + 60)).otherwise(F.lit(60))
+    head = F.format_string("Reading lines %d-%d (%d lines) of %s looks broader than this step needs (p=%.2f). Outline of the whole file (%d lines):", request["from_line"], request["to_line"], request["lines"], file, p, total)
+    shown = F.when(F.size(entries) > 0, F.array_join(entries, "\n")).otherwise("  (no headings or definitions found)")
+    advice = F.format_string("Read only the part you need, e.g. `sed -n '%d,%dp' %s` or `grep -n <term> %s`. To read the whole range anyway, ask for it again.", first, stop, file, file)
+    return F.concat_ws("\n", head, shown, advice)
+
+
 def request_batches(df: DataFrame, group: str, order: str, tokens: str, most: int = 20_000) -> DataFrame:
     """Adds batch: a new one begins where the running estimate of the open one would pass the bound."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))

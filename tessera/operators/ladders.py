@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -201,7 +201,7 @@ def guidance(prompt: Column, mark: str, text: str) -> Column:
 
 def detail_budget(level: Column) -> Column:
     """Characters that a brief's wanted level of detail allows; null without a bound."""
-    return F.when(level == "brief", 1200).when(level == "normal", 3000)
+    return F.when(level == "conclusion", 1200).when(level == "key_details", 3000)
 
 
 #: Signs of development work: a source file's name, words of the work, the same in Korean.
@@ -222,20 +222,33 @@ def accepted(on_target: Column, items: Column, evidence: Column) -> Column:
     return cases((on_target < 0.4, "off_target"), (items < 0.3, "item_missing"), (evidence < 0.3, "no_evidence"), otherwise="accepted")
 
 
+#: Words of a report that comes before the work is done, and of a request that it be done again.
+INTERIM = "(?i)I'll (?:wait|report)|will report|waiting (?:on|for)|still (?:running|waiting)|in progress|before reporting"
+CORRECTIVE = "(?i)수정|다시|고쳐|누락|빠진|빠졌|틀렸|잘못|fix|redo|missing|again|wrong|incorrect|broken|fail"
+
+
 def is_interim(report: Column) -> Column:
-    return (F.length(report) < 1200) & report.rlike("(?i)in progress|still (?:working|running)|will (?:report|continue)|waiting for|진행 중|대기")
+    return (F.length(report) < 1200) & report.rlike(INTERIM)
 
 
 def is_corrective(follow_up: Column) -> Column:
-    return F.substring(follow_up, 1, 600).rlike("(?i)(?:you (?:missed|forgot|didn't)|wrong|incorrect|not what|redo|again|fix|빠졌|누락|틀렸|다시|잘못)")
+    return F.substring(follow_up, 1, 600).rlike(CORRECTIVE)
+
+
+def in_order(facts: DataFrame, group: str, result: str, fact: str, name: str = "place") -> DataFrame:
+    """facts with their place, from 1, in the conversation: by result, then by fact."""
+    return facts.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(result, fact)))
 
 
-def retain_choice(mode: str, rules: DataFrame, scored: DataFrame, order: list[str]) -> DataFrame:
-    """off, rules, scored, or hybrid: the rule facts with the scored ones that remain; rule facts are never lost."""
+def retain_choice(mode: str, rules: DataFrame, scored: DataFrame, order: list[str], carried: DataFrame | None = None) -> DataFrame:
+    """off, rules, scored, hybrid: the rule facts with the scored ones that remain; rule facts are never lost. on: the
+    rule facts of results that aren't carried whole, and those that are (None: the scorer failed, nothing is carried)."""
     if mode == "off":
         return rules.limit(0)
-    if mode == "rules":
-        return rules
     if mode == "scored":
         return scored
-    return rules.unionByName(scored.join(rules.select(*order), order, "left_anti"))
+    if mode == "hybrid":
+        return rules.unionByName(scored.join(rules.select(*order), order, "left_anti"))
+    if mode == "on" and carried is not None:
+        return rules.join(carried.select(*order), order, "left_anti").unionByName(carried)
+    return rules

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.shared import checkpointed
 
 
 def reduction(before: Column, after: Column) -> Column:
@@ -70,26 +71,46 @@ def running_total(df: DataFrame, order: str, add: str, name: str) -> DataFrame:
 
     Rows are range-partitioned; each partition's total goes, as one small row, to all partitions after it.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, order).sortWithinPartitions(order, add).withColumn("_part", F.spark_partition_id())
+    dealt = _dealt(df, order)
     totals = dealt.groupBy("_part").agg(F.sum(add).alias("_total"))
     before = totals.withColumn("_base", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
     own = F.coalesce(F.sum(add).over(Window.partitionBy("_part").orderBy(order, add).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_base")).drop("_part", "_own", "_base")
 
 
+def _dealt(df: DataFrame, *ranges: str) -> DataFrame:
+    """df in ranges, with _part, the range's number; written, so that a lost executor can't deal it anew."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(parts, *ranges).withColumn("_part", F.spark_partition_id()))
+
+
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds the row's number, from 1, in its group, without one task for a whole group.
+
+    Rows are range-partitioned by group and order; a range adds what its group has in the ranges before, of which
+    there is one row for each range and group that meet. Rows that tie in order have any of their numbers.
+    """
+    dealt = _dealt(df, group, *order)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)))
+    base = base.select(F.col(group).alias("_group"), F.col("_part").alias("_at"), "_base")
+    met = own.join(base, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_part", "_own", "_base", "_group", "_at")
+
+
 def spearman(df: DataFrame, group: str, key: str, x: str, y: str) -> DataFrame:
     """(group, rho): correlation of ordinal ranks; ties stand in the order of key."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(group).orderBy(c, key)).cast("double")
-    return df.withColumn("rx", rank(x)).withColumn("ry", rank(y)).groupBy(group).agg(F.round(F.corr("rx", "ry"), 9).alias("rho"))
+    rows = ranked(ranked(df.select(group, key, x, y), group, [x, key], "rx"), group, [y, key], "ry")
+    return rows.groupBy(group).agg(F.round(F.corr(F.col("rx").cast("double"), F.col("ry").cast("double")), 9).alias("rho"))
 
 
 def floor_quantile(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(group, n, name...) the element at floor(n * share) of the sorted non-null values: no interpolation."""
-    w = Window.partitionBy(group)
-    rows = df.where(F.col(value).isNotNull()).withColumn("at", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    pick = lambda s: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value)))
+    rows = df.where(F.col(value).isNotNull()).select(group, value)
+    sizes = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("n"))
+    rows = ranked(rows, group, [value], "at").join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    pick = lambda s: F.max(F.when(F.col("at") == F.least(F.floor(F.col("n") * s), F.col("n") - 1) + 1, F.col(value)))
     return rows.groupBy(group).agg(F.max("n").alias("n"), *(pick(s).alias(k) for k, s in shares.items()))
 
 
@@ -112,12 +133,25 @@ def unused_share(chunks: DataFrame, later: DataFrame, doc: str, chunk: str, text
     """(doc, chars, unused, share): characters of chunks of which nothing specific, and no longer line, comes again.
 
     chunks: (doc, chunk, text); later: (doc, text), what was said afterwards. A chunk counts as used if one of its
-    own tokens stands in a later text, or a line of at least 25 characters does.
+    own tokens stands in a later text, or a line of at least 25 characters does. A document's pieces are gathered
+    beside its later text, which so is held once.
     """
     pieces = specific_tokens(chunks, doc, chunk, text).select(doc, chunk, F.col("token").alias("piece"))
     lines = chunks.select(doc, chunk, F.explode(F.transform(F.split(text, "\n", -1), T.trimmed)).alias("piece")).where(F.length("piece") >= 25)
     said = later.groupBy(doc).agg(F.lower(F.array_join(F.sort_array(F.collect_list(text)), "\n")).alias("said"))
-    used = pieces.union(lines.withColumn("piece", F.lower("piece"))).join(said, doc).where(F.contains("said", "piece")).select(doc, chunk).distinct().withColumn("used", F.lit(True))
+    asked = pieces.union(lines.withColumn("piece", F.lower("piece"))).groupBy(doc).agg(F.collect_set(F.struct(chunk, "piece")).alias("asked"))
+    used = asked.join(said, doc).select(doc, F.explode(F.array_distinct(F.transform(F.filter("asked", lambda x: F.contains(F.col("said"), x["piece"])), lambda x: x[chunk]))).alias(chunk)).withColumn("used", F.lit(True))
     out = chunks.join(used, [doc, chunk], "left").groupBy(doc)
     out = out.agg(F.sum(F.length(text)).alias("chars"), F.coalesce(F.sum(F.when(F.col("used").isNull(), F.length(text))), F.lit(0)).alias("unused"))
     return out.withColumn("share", F.round(F.col("unused") / F.col("chars"), 3))
+
+
+def section_usage(sections: DataFrame, report: str, chars: str, used: str) -> DataFrame:
+    """(reports, chars, sections, unused_sections, unused_chars, first_unused_chars, fully_used, median_sections) of
+    sections (report, section, chars, used): what of the reports was never taken up."""
+    unused = ~F.col(used)
+    per = sections.groupBy(report).agg(F.sum(chars).alias("chars"), F.count("*").alias("sections"), F.count_if(unused).alias("lost"), F.sum(F.when(unused, F.col(chars)).otherwise(0)).alias("gone"), F.sum(F.when(unused & (F.col("section") == 1), F.col(chars)).otherwise(0)).alias("head"))
+    median = floor_quantile(per.withColumn("_all", F.lit(0)), "_all", "sections", {"median_sections": 0.5}).select("median_sections")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    out = per.agg(F.count("*").alias("reports"), total("chars", "chars"), total("sections", "sections"), total("lost", "unused_sections"), total("gone", "unused_chars"), total("head", "first_unused_chars"), F.count_if(F.col("lost") == 0).alias("fully_used"))
+    return out.join(median, F.lit(True), "left")
