@@ -73,7 +73,7 @@ def _queued(grace_ms: int):
             for r in pdf.sort_values(["at_ms", "event_id"]).itertuples(index=False):
                 if r.kind == "queue":
                     queued, said = r.at_ms, "queued"
-                elif queued is not None and r.at_ms - queued <= grace_ms:
+                elif queued is not None and r.at_ms - queued < grace_ms:
                     said = "compact_queued"
                 elif nudged is not None:
                     said = "nudged_already"

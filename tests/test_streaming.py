@@ -37,7 +37,7 @@ def test_what_is_held_is_given_once_while_fresh(spark, tmp_path):
 
 
 def test_idle_nudges(spark, tmp_path):
-    files = [[("s", 1, 0, "queue"), ("s", 2, 600_000, "prompt")], [("s", 3, 600_001, "prompt")], [("s", 4, 700_000, "prompt")]]
+    files = [[("s", 1, 0, "queue"), ("s", 2, 599_999, "prompt")], [("s", 3, 600_000, "prompt")], [("s", 4, 700_000, "prompt")]]
     assert run(spark, tmp_path, files, keyed.idle_nudges) == {1: "queued", 2: "compact_queued", 3: "blocked", 4: "nudged_already"}
 
 
