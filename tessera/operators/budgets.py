@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,23 +20,28 @@ def fitting(items: Column, size, budget: int) -> Column:
 def greedy_pick(df: DataFrame, group: str, item: str, score: str, size: str, budget: int, keep: float = 0.5) -> DataFrame:
     """(group, item, score, size) of what is taken in each group: score at least keep, best first, ties by item.
 
-    Only ids, scores and sizes are gathered by group, never texts. What is left of a group is its candidates; the
-    caller bounds them (newest_chunks does).
+    What is left only shrinks, so of items of one size none is taken after one that didn't fit: the first
+    budget / size of each size are all that can be. Only their ids, scores and sizes are gathered by group, at most
+    about budget * ln(budget) of them, however large the group is; items of size 0 are taken without being gathered.
     """
-    entry = F.struct((-F.col(score)).alias("rank"), F.col(item).alias("item"), F.col(size).cast("long").alias("size"))
-    ordered = df.where(F.col(score) >= keep).groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    able = df.where((F.col(score) >= keep) & (F.col(size) <= budget)).select(group, item, score, F.col(size).cast("long").alias(size))
+    place = F.row_number().over(Window.partitionBy(group, size).orderBy(F.col(score).desc(), item))
+    first = able.where(F.col(size) > 0).withColumn("_place", place).where(F.col("_place") <= F.lit(budget) / F.col(size))
+    entry = F.struct((-F.col(score)).alias("rank"), F.col(item).alias("item"), F.col(size).alias("size"))
+    ordered = first.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("items"))
     taken = ordered.select(group, F.explode(fitting(F.col("items"), lambda x: x["size"], budget)).alias("x"))
-    return taken.select(group, F.col("x.item").alias(item), (-F.col("x.rank")).alias(score), F.col("x.size").alias(size))
+    taken = taken.select(group, F.col("x.item").alias(item), (-F.col("x.rank")).alias(score), F.col("x.size").alias(size))
+    return taken.unionByName(able.where(F.col(size) == 0))
 
 
-def over_budget(df: DataFrame, group: str, item: str, score: str, size: str, budget: int, keep: float = 0.3) -> DataFrame:
-    """(group, asked, taken, chars, over_budget, stage) of a greedy choice of whole outputs."""
-    able = df.withColumn("able", F.col(score) >= keep)
-    asked = able.groupBy(group).agg(F.count("*").alias("asked"), F.count_if("able").alias("wanted"))
-    got = greedy_pick(df, group, item, score, size, budget, keep).groupBy(group).agg(F.count("*").alias("taken"), F.sum(size).alias("chars"))
+def over_budget(df: DataFrame, group: str, item: str, score: str, size: str, budget: int, keep: float = 0.3, least: int = 0) -> DataFrame:
+    """(group, asked, taken, chars, over_budget, stage) of a greedy choice of whole outputs of at least the least size."""
+    able = df.withColumns({"ask": F.col(size) >= least, "able": (F.col(size) >= least) & (F.col(score) >= keep)})
+    asked = able.groupBy(group).agg(F.count_if("ask").alias("asked"), F.count_if("able").alias("wanted"))
+    got = greedy_pick(df.where(F.col(size) >= least), group, item, score, size, budget, keep).groupBy(group).agg(F.count("*").alias("taken"), F.sum(size).alias("chars"))
     out = asked.join(got, group, "left").withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long"), "chars": F.coalesce("chars", F.lit(0)).cast("long")})
     out = out.withColumn("over_budget", F.col("wanted") - F.col("taken"))
-    stage = F.when(F.col("taken") > 0, "carried").when(F.col("over_budget") > 0, "over_budget").otherwise("none_needed")
+    stage = F.when(F.col("asked") == 0, "nothing_to_ask").when(F.col("taken") > 0, "carried").when(F.col("over_budget") > 0, "over_budget").otherwise("none_needed")
     return out.select(group, "asked", "taken", "chars", "over_budget", stage.alias("stage"))
 
 
@@ -45,7 +50,15 @@ def pick_standouts(lines: DataFrame, group: str, order: str, budget: int, per_ou
 
     Outputs are taken newest first; a line is skipped if it doesn't fit its output's or the total budget. After
     each pick the size grows by the line and one; the one isn't part of the test.
+
+    Lines of one size are skipped in an output only once it or the whole is nearly full, and either takes some of the
+    total: so per size only the first lines of the first outputs can be taken, and only those are gathered.
     """
+    size = F.length("line")
+    outputs = F.dense_rank().over(Window.partitionBy(group, size).orderBy(F.col(order).desc()))
+    inside = F.row_number().over(Window.partitionBy(group, order, size).orderBy("pos"))
+    some = F.greatest(F.lit(1), F.least(size, per_output - size + 1))
+    lines = lines.withColumns({"_outputs": outputs, "_inside": inside}).where((size <= per_output) & ((size == 0) | (F.col("_inside") <= F.lit(per_output) / size) & (F.col("_outputs") <= F.floor(F.lit(budget) / some) + 1))).drop("_outputs", "_inside")
     entry = F.struct((-F.col(order)).alias("newest"), F.col("pos"), F.col(order).alias("at"), F.length("line").cast("long").alias("size"))
     ordered = lines.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("items"))
     zero = F.lit(0).cast("long")

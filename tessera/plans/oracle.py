@@ -171,10 +171,12 @@ SQL = {
     "chunk_scores_simulated": f"WITH {_CHUNKS} SELECT doc_id, chunk, length(body) AS chars, {_SCORE.format('body')} AS p FROM chunks",
     "newest_chunks": f"WITH {_NEWEST} SELECT source, doc_id, chunk, length(body) AS chars, rank FROM newest",
     "greedy_budget_pick": f"{_PICK}{_GREEDY.format(keep=0.5, budget=6000)} SELECT source, item, p, chars FROM walk WHERE taken",
-    "carry_budget_stages": f"""{_PICK}{_GREEDY.format(keep=0.3, budget=12000)}
-        SELECT source, asked, taken, chars, wanted - taken AS over_budget, CASE WHEN taken > 0 THEN 'carried' WHEN wanted > taken THEN 'over_budget' ELSE 'none_needed' END AS stage
-        FROM (SELECT source, count(*) AS asked, count(*) FILTER (p >= 0.3) AS wanted FROM scored GROUP BY source)
-        JOIN (SELECT source, count(*) FILTER (taken) AS taken, coalesce(sum(chars) FILTER (taken), 0)::BIGINT AS chars FROM walk GROUP BY source) USING (source)""",
+    "carry_budget_stages": f"""WITH RECURSIVE scored AS (SELECT source, printf('%012d', doc_id) AS item, round(doc_id * 37 % 100 / 100.0, 2) AS p, length(text) AS chars FROM documents WHERE length(text) >= 1000),
+        {_GREEDY.format(keep=0.3, budget=12000)},
+        a AS (SELECT source, count(*) FILTER (length(text) >= 1000) AS asked, count(*) FILTER (length(text) >= 1000 AND round(doc_id * 37 % 100 / 100.0, 2) >= 0.3) AS wanted FROM documents GROUP BY source),
+        t AS (SELECT source, count(*) FILTER (taken) AS taken, coalesce(sum(chars) FILTER (taken), 0)::BIGINT AS chars FROM walk GROUP BY source)
+        SELECT source, asked, coalesce(taken, 0) AS taken, coalesce(chars, 0) AS chars, wanted - coalesce(taken, 0) AS over_budget,
+               CASE WHEN asked = 0 THEN 'nothing_to_ask' WHEN taken > 0 THEN 'carried' WHEN wanted > 0 THEN 'over_budget' ELSE 'none_needed' END AS stage FROM a LEFT JOIN t USING (source)""",
     "cheapest_candidate": "SELECT source, sha256(t) AS text_sha, length(t) AS chars FROM (SELECT source, arg_min(text, {'n': length(text), 't': text}) AS t FROM documents WHERE length(text) BETWEEN 1 AND 4000 GROUP BY source)",
     "conversation_goal": f"SELECT conv_id, string_agg(text[1:500], {_NL} ORDER BY turn) AS goal FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user' AND {_trim('text')} <> '') WHERE back <= 3 GROUP BY conv_id",
     "exchange_segments": f'WITH {_EXCHANGES} SELECT conv_id, exchange, min(idx) AS "start", max(idx) AS stop FROM x WHERE exchange > 0 GROUP BY conv_id, exchange',

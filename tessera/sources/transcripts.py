@@ -16,13 +16,16 @@ BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:varia
 
 
 def jsonl(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(file, pos, v): pos orders the lines of a file (byte-order of Spark's splits, then line)."""
+    """(file, pos, v): pos orders the lines of a file: the byte at which Spark's split begins, and the line in the split.
+
+    A split has no more lines than bytes, so the next one's are larger; lines are numbered split by split.
+    """
     reader = spark.read.option("wholetext", False)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     lines = lines.withColumn("v", F.try_parse_json("value")).where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
-    return lines.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")).cast("long")).select("file", "pos", "v")
+    return lines.withColumn("pos", (F.col("block") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))).cast("long")).select("file", "pos", "v")
 
 
 def from_lines(df: DataFrame, file: str, pos: str, line: str) -> DataFrame:

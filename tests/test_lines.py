@@ -175,3 +175,39 @@ def test_synthetic_log_and_archive(spark, tmp_path):
 def test_rendered(spark):
     facts = spark.createDataFrame([("s", 1, 2, "cmd", "b"), ("s", 1, 1, "cmd", "a"), ("s", 0, 1, "ls", "z")], "s string, result long, n long, source string, text string")
     assert sinks.rendered(facts, "s", "result", "n", "source", "text").first().rendered == "\n$ ls\nz\n\n$ cmd\na\n…\nb"
+
+
+def plain_greedy(rows, budget, keep):
+    used, out = 0, []
+    for p, item, size in sorted((-p, i, n) for i, p, n in rows if p >= keep):
+        if used + size <= budget:
+            used += size
+            out.append(item)
+    return sorted(out)
+
+
+def test_greedy_choice_of_large_groups(spark):
+    """Only the first few of each size are gathered; the choice is that of the whole walk."""
+    rng = random.Random(4)
+    rows = [(g, f"i{k:04}", rng.randrange(100) / 100, rng.choice([0, 1, 2, 3, 5, 8, 30, 31, 200, 900])) for g in "ab" for k in range(800)]
+    df = spark.createDataFrame(rows, "g string, i string, p double, n long")
+    got = {}
+    for r in budgets.greedy_pick(df, "g", "i", "p", "n", 300).collect():
+        got.setdefault(r.g, []).append(r.i)
+    assert {g: sorted(x) for g, x in got.items()} == {g: plain_greedy([r[1:] for r in rows if r[0] == g], 300, 0.5) for g in "ab"}
+
+
+def test_standout_choice_of_large_groups(spark):
+    rng = random.Random(6)
+    rows = [(g, at, pos, "x" * rng.choice([0, 1, 2, 7, 20, 39, 40, 41, 90])) for g in "ab" for at in range(60) for pos in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "g string, at long, pos long, line string")
+    got = sorted((r.g, r["at"], r.pos) for r in budgets.pick_standouts(df, "g", "at", 500, 40).collect())
+    want, before, own, last = [], 0, 0, None
+    for g, at, pos, line in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        if last != (g, at):
+            before, own = (0 if last is None or last[0] != g else before + own), 0
+            last = g, at
+        if own + len(line) <= 40 and before + own + len(line) <= 500:
+            want.append((g, at, pos))
+            own += len(line) + 1
+    assert got == sorted(want)
