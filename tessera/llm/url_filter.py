@@ -12,6 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +75,17 @@ def sql_parts(duckdb: bool = False) -> dict[str, str]:
     return {"host": f"translate({group('://([^/?#]*)')}, '{UPPER}', '{LOWER}')", "path": group("://[^/?#]*([^?#]*)")}
 
 
+def _literal(text: str, duckdb: bool) -> str:
+    """A string in SQL; Spark's strings have escapes, DuckDB's double their quotes."""
+    return "'" + (text.replace("'", "''") if duckdb else text.replace("\\", "\\\\").replace("'", "\\'")) + "'"
+
+
 def sql_features(suffixes: dict[str, float], duckdb: bool = False) -> dict[str, str]:
     """Feature -> SQL over url, host and path."""
     url = "coalesce(url, '')"
     count = lambda x, c: f"(length({x}) - length(replace({x}, '{c}', '')))"
     last = "regexp_extract(host, '([^.]*)$', 1)"
+    rates = " ".join(f"WHEN {last} = {_literal(s, duckdb)} THEN {r!r}" for s, r in sorted(suffixes.items()) if s != "")
     if duckdb:
         entropy = "round(coalesce(list_sum(list_transform(list_distinct(string_split(host, '')), lambda c: -((length(host) - length(replace(host, c, ''))) / length(host)::DOUBLE) * log2((length(host) - length(replace(host, c, ''))) / length(host)::DOUBLE))), 0), 4)"
     else:
@@ -93,7 +100,7 @@ def sql_features(suffixes: dict[str, float], duckdb: bool = False) -> dict[str,
         "host_labels": count("host", "."),
         "host_chars": "length(host)",
         "host_digits": f"length(host) - {_without('host', '0123456789')}",
-        "suffix_rate": "CASE " + " ".join(f"WHEN {last} = '{s}' THEN {r!r}" for s, r in sorted(suffixes.items()) if s != "") + f" ELSE {suffixes['']!r} END",
+        "suffix_rate": f"CASE {rates} ELSE {suffixes['']!r} END" if rates else repr(suffixes[""]),
     }
 
 
@@ -124,21 +131,35 @@ class UrlModel:
     suffixes: dict
 
 
-#: Labelled rows that a model is fitted on at most.
-MOST_LABELLED = 50_000
+#: Labelled rows that a model is fitted on, and suffixes that it tells apart, at most.
+MOST_LABELLED, MOST_SUFFIXES = 50_000, 200
+
 
+def fit(labelled: list[tuple[str, int]], most: int = MOST_LABELLED, seed: int = 0) -> UrlModel:
+    """Trees and suffix statistics (smoothed share of blocked urls by last host label; '' for unseen ones).
 
-def fit(labelled: list[tuple[str, int]]) -> UrlModel:
-    """Trees and suffix statistics (smoothed share of blocked urls by last host label; '' for unseen ones)."""
-    labelled = labelled[:MOST_LABELLED]
+    Of more than ``most`` rows a sample is read, by a seeded hash of the url; of more suffixes than MOST_SUFFIXES the
+    most frequent are told apart. Without any row every url is allowed.
+    """
+    if len(labelled) > most:
+        labelled = sorted(labelled, key=lambda r: (xxhash.xxh3_64_intdigest(r[0], seed), r))[:most]
+    if not labelled:
+        labelled = [("", 0)]
     share = sum(y for _, y in labelled) / len(labelled)
     seen: dict[str, list[int]] = {}
     for url, y in labelled:
         seen.setdefault(url.partition("://")[2].partition("/")[0].rpartition(".")[2], []).append(y)
-    suffixes = {"": round(share, 6)} | {s: round((sum(ys) + 5 * share) / (len(ys) + 5), 6) for s, ys in seen.items()}
+    known = sorted(seen, key=lambda s: (-len(seen[s]), s))[:MOST_SUFFIXES]
+    suffixes = {"": round(share, 6)} | {s: round((sum(seen[s]) + 5 * share) / (len(seen[s]) + 5), 6) for s in seen if s in set(known)}
     return UrlModel(boost([features(u, suffixes) for u, _ in labelled], [y for _, y in labelled]), suffixes)
 
 
+def fit_table(labelled: DataFrame, most: int = MOST_LABELLED, seed: int = 0) -> UrlModel:
+    """``fit`` on a table (url, label 0 or 1, 1 to block): a sample of at most ``most`` of its rows with both reaches the driver."""
+    rows = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("int").alias("label"))
+    return fit([tuple(r) for r in rows.orderBy(F.xxhash64(F.lit(seed), "url"), "url", "label").limit(most).collect()], most, seed)
+
+
 @lru_cache(maxsize=1)
 def default_model() -> UrlModel:
     return fit(labelled_urls())
@@ -151,7 +172,7 @@ def sql_rule(rules: tuple[Rule, ...], value: str) -> str:
         suffix, n = f".{r.host}", len(r.host) + 1
         said = r.name if value == "name" else "allow" if r.allow else "block"
         cases.append(f"WHEN (host = '{r.host}' OR right(host, {n}) = '{suffix}') AND left(path, {len(r.path)}) = '{r.path}' THEN '{said}'")
-    return f"CASE {' '.join(cases)} ELSE NULL END"
+    return f"CASE {' '.join(cases)} ELSE NULL END" if cases else "CAST(NULL AS STRING)"
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: UrlModel | None = None) -> DataFrame:
