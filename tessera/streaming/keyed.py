@@ -67,29 +67,40 @@ def consume_once(stream: DataFrame, fresh_seconds: int = 900) -> DataFrame:
 
 def _queued(grace_ms: int):
     def step(key, frames, state: GroupState):
-        queued, nudged = state.get if state.exists else (None, None)
+        queued, lost, compacted, nudged, answered = state.get if state.exists else (None, False, False, None, -1)
         for pdf in frames:
             rows = []
             for r in pdf.sort_values(["at_ms", "event_id"]).itertuples(index=False):
                 if r.kind == "queue":
                     queued, said = r.at_ms, "queued"
+                elif r.kind == "lost":
+                    lost, compacted, said = True, False, "lost"
+                elif r.kind == "compact":
+                    compacted, said = True, "compacted"
+                elif r.kind == "response":
+                    answered, said = r.at_ms, "answered"
                 elif queued is not None and r.at_ms - queued < grace_ms:
                     said = "compact_queued"
-                elif nudged is not None:
+                elif lost:
+                    lost, said = False, "compacted_since" if compacted else "blocked"
+                elif nudged == answered:
                     said = "nudged_already"
                 else:
-                    nudged, said = r.at_ms, "blocked"
+                    nudged, said = answered, "blocked"
                 rows.append((key[0], r.event_id, r.at_ms, said))
             yield pd.DataFrame(rows, columns=["key", "event_id", "at_ms", "decision"])
-        state.update((queued, nudged))
+        state.update((queued, lost, compacted, nudged, answered))
 
     return step
 
 
 def idle_nudges(stream: DataFrame, grace_seconds: int = 600) -> DataFrame:
-    """For each row (key, event_id, at_ms, kind queue or prompt): a prompt is blocked once, and never in the grace after a queue."""
+    """For each row (key, event_id, at_ms, kind queue, lost, compact, response or prompt): a prompt is blocked once for
+    each last response, and once for a compaction that was lost unless there was another one since; never in the grace
+    after a queue."""
     ship(stream.sparkSession)
-    return stream.groupBy("key").applyInPandasWithState(_queued(1000 * grace_seconds), OUT, "queued long, nudged long", "append", GroupStateTimeout.NoTimeout)
+    kept = "queued long, lost boolean, compacted boolean, nudged long, answered long"
+    return stream.groupBy("key").applyInPandasWithState(_queued(1000 * grace_seconds), OUT, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def log_decisions(stream: DataFrame, path: str, checkpoint: str):

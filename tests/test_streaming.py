@@ -41,6 +41,12 @@ def test_idle_nudges(spark, tmp_path):
     assert run(spark, tmp_path, files, keyed.idle_nudges) == {1: "queued", 2: "compact_queued", 3: "blocked", 4: "nudged_already"}
 
 
+def test_lost_compactions_and_later_responses(spark, tmp_path):
+    files = [[("s", 1, 0, "lost"), ("s", 2, 10, "prompt"), ("s", 3, 20, "prompt")], [("s", 4, 30, "prompt"), ("s", 5, 40, "response"), ("s", 6, 50, "prompt")], [("s", 7, 60, "lost"), ("s", 8, 70, "compact"), ("s", 9, 80, "prompt"), ("s", 10, 90, "prompt")]]
+    got = run(spark, tmp_path, files, keyed.idle_nudges)
+    assert got == {1: "lost", 2: "blocked", 3: "blocked", 4: "nudged_already", 5: "answered", 6: "blocked", 7: "lost", 8: "compacted", 9: "compacted_since", 10: "nudged_already"}
+
+
 def test_decision_log(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
