@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import budgets, conversation, lines
 from tessera.operators.ladders import DEFAULTS, Settings, call_decision
 from tessera.operators.metrics import reduction
+from tessera.sources.shared import checkpointed
 
 
 def repinned(calls: DataFrame, messages: DataFrame, recent: int = 6) -> DataFrame:
@@ -120,9 +121,11 @@ def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic
     """The whole compaction: stats, decisions, messages and notes of every conversation. Without topic scores no topic goes.
 
     stage is no_candidates where nothing is large enough to ask about, below_min where less than a quarter of the
-    characters goes, else compacted; where it isn't compacted the conversation stays as it is.
+    characters goes, else compacted; where it isn't compacted the conversation stays as it is. The tables that many
+    branches read are written to the shared folder.
     """
-    pinned = repinned(calls, messages, recent)
+    messages, calls = checkpointed(messages), checkpointed(calls)  # many branches read them
+    pinned = checkpointed(repinned(calls, messages, recent))
     asked = pinned.where(~F.col("pinned") & (call_chars() >= conf.ask_call_chars)).select("conv").distinct()
     found = topics(messages, pinned, conf, recent)
     able = asked.union(found.select("conv")).distinct().withColumn("_able", F.lit(True))
@@ -133,7 +136,7 @@ def compact(messages: DataFrame, calls: DataFrame, call_scores: DataFrame, topic
         at = lambda c: (F.col("conv") == F.col("_conv")) & F.col(c).between(F.col("start"), F.col("stop"))
         left = messages.join(span, at("idx"), "left_anti")
         still = pinned.join(span, at("call_idx"), "left_anti")
-    decided = decisions(still, call_scores, conf)
+    decided = checkpointed(decisions(still, call_scores, conf))
     decided = rescued(decided, kept_results(decided, conf=conf))
     after = shortened(decided)
     used = decided.where("action <> 'drop_call'").select("conv", F.col("call_idx").alias("idx")).distinct().withColumn("_calls", F.lit(True))
