@@ -15,6 +15,8 @@ from tessera.llm.kit import Tables, arrow
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Edges that one union-find takes before it gives its forest out; bounds a task's memory.
 AT_ONCE = 1_000_000
+#: Rows of a node from which it may be a hub, and how many hubs there may be (two longs each).
+HUB_ROWS, HUBS = 1_000, 100_000
 
 
 class UnionFind:
@@ -58,6 +60,17 @@ def _forest(batches):
     yield arrow({"a": a, "b": b}, EDGES)
 
 
+def _joined(rows: DataFrame, least: DataFrame, key: str, edges: int) -> DataFrame:
+    """rows with the m of their key in least (key, m, n): keys of many rows by broadcast, others by shuffle.
+
+    rows has at most 2 * edges rows, of which a hub has more than its limit, so there are HUBS hubs at most.
+    """
+    limit = max(HUB_ROWS, 2 * edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(key, "m"))
+    plain = rows.join(hubs.select(key), key, "left_anti").join(least.where(F.col("n") <= limit).select(key, "m"), key)
+    return plain.select("a", "b", "m").union(rows.join(hubs, key).select("a", "b", "m"))
+
+
 def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the smallest id that can be reached.
 
@@ -70,13 +83,13 @@ def components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
     while mark[0]:
         # large-star: every larger neighbour moves to the smallest neighbour
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _joined(both, least, "a", mark[0]).where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         # a node with many smaller neighbours has one edge from each partition after this
         large = large.mapInArrow(_forest, "a long, b long")
         # small-star: every node and its smaller neighbours move to the smallest of these
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        small = _joined(large, least, "b", mark[0]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
         turn += 1
         after = tables.keep(small.distinct(), f"{name}-{turn}")
         tables.drop(f"{name}-{turn - 1}")

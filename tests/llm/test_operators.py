@@ -67,6 +67,37 @@ def test_near_groups_in_blocks(docs, conf):
     assert by_id(near_groups(docs, conf), "component_id") == {d: c for d, (_, c) in brute.near_groups(ROWS).items()}
 
 
+def drifting(seed: int, n: int = 24) -> list[tuple[int, str]]:
+    """Texts that drift away word by word: neighbours are near copies, the first and the last have little in common;
+    beside them a family of near copies of one text, and texts that are alike but not enough."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    now = [word() for _ in range(120)]
+    rows = []
+    for _ in range(n):
+        rows.append(" ".join(now))
+        now[rng.randrange(len(now))] = word()
+    base = [word() for _ in range(150)]
+    for k in range(n):
+        copy = list(base)
+        for _ in range(1 + k % 7):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append(" ".join(copy))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [(7 * i + 1, rows[j]) for i, j in enumerate(order)]
+
+
+@pytest.mark.parametrize("conf", [NearDedup(), NearDedup(block=2), NearDedup(block=3, most_blocks=1)])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_of_near_copies(spark, conf, seed):
+    rows = drifting(seed)
+    got = by_id(near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), conf), "n_shingles", "component_id")
+    want = brute.near_groups(rows)
+    assert got == want
+    assert max(sum(c == r for _, c in want.values()) for r in {c for _, c in want.values()}) > 10
+
+
 def test_pii(docs):
     got = by_id(personal_data(docs), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
     for d, t in ROWS:

@@ -67,6 +67,20 @@ def test_components(spark):
     assert got == {x: want.root(x) for x in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Nodes of many edges take the broadcast side of the joins."""
+    from tessera.llm import graph
+
+    monkeypatch.setattr(graph, "HUB_ROWS", 3)
+    rng = np.random.default_rng(9)
+    edges = [(0, i) for i in range(1, 200)] + [(i, 999) for i in range(200, 300)] + [(int(a), int(b)) for a, b in rng.integers(300, 900, (400, 2))] + [(150, 250)]
+    want = UnionFind()
+    for a, b in edges:
+        want.join(a, b)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(11), Tables(spark), "h").collect()}
+    assert got == {x: want.root(x) for x in got} and set(got) == {x for e in edges if e[0] != e[1] for x in e}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 31), st.integers(1, 40), max_size=12))
 def test_plan_places_every_piece(counts):
@@ -107,6 +121,25 @@ def test_both_libraries_give_the_same_ids(text):
     assert ids(text) == ids.raw(text)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_both_libraries_give_the_same_ids_for_every_document(sf):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from tessera.llm.queries import PACKING
+
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    ids, quick = packing.ids_of(PACKING.tokenizer, PACKING.ranks, PACKING.pattern), 0
+    for text in pq.read_table(path, columns=["text"]).column(0).to_pylist():
+        if text is not None:
+            assert ids(text) == ids.raw(text)
+            quick += not (packing._PLAIN.search(text) or packing._LONG_SPACE.search(text))
+    assert quick > 500
+
+
 def test_ids_of_long_and_special_texts():
     from tessera.llm.queries import PACKING
 
@@ -339,6 +372,20 @@ def test_url_model_held_out():
     assert right / len(fresh) > 0.95
 
 
+def test_url_model_of_a_labelled_table(spark):
+    rows = url_filter.labelled_urls(500, seed=5) + [("http://o'brien.it's/x", 1), ("http://back\\slash.a\\b/", 0), ("no scheme", 1)]
+    df = spark.createDataFrame([*rows, (None, 1), ("http://x.org", None)], "url string, label int")
+    model = url_filter.fit_table(df, most=300)
+    assert model == url_filter.fit_table(df.repartition(5), most=300) and model != url_filter.fit_table(df, most=300, seed=1)
+    whole = url_filter.fit_table(df)
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(pages, rules=(), model=whole).collect()}
+    assert all(abs(got[i].block_score - whole.trees.log_odds(url_filter.features(u, whole.suffixes))) < 1e-6 for i, (u, _) in enumerate(rows))
+    assert sum((got[i].verdict == "block") == bool(y) for i, (_, y) in enumerate(rows)) > 0.95 * len(rows)
+    none = url_filter.fit_table(df.limit(0))
+    assert {r.verdict for r in url_filter.judge(pages, rules=(), model=none).collect()} == {"allow"}
+
+
 URLS = [
     "http://a.example.org/es/1", "http://example.org/en/12", "http://example.org/en/2", "https://x.com/fr/", "https://X.COM/de/9?q", "http://org/", "http://org", "http://notorg.xyz/", None, "", "no scheme/org/",
     "http://a.b.net/?x=1&y=2#z", "http://spam-farm-casino.example.net/en/1", "://host.org/a", "http://a://b.org/c",
