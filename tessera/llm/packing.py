@@ -219,7 +219,8 @@ def packed(docs: DataFrame, conf: Packing, tables: Tables | None = None) -> Data
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece of docs (doc_id, text).
 
     A null or empty text is its end id alone. Rows are packed one by one, so a repeated row is packed again; a
-    doc_id may be null. An empty table gives no pieces. Sequences that end full hold ``capacity`` ids; the rest
+    doc_id may be null. An empty table gives no pieces; texts of any length are read whole, as many pieces as it takes.
+    Equal lengths take their places in an order that doesn't depend on their texts. Sequences that end full hold ``capacity`` ids; the rest
     of the corpus, less than one sequence, is in sequences of powers of two.
     """
     tables = tables or Tables(docs.sparkSession)

@@ -170,7 +170,8 @@ def removed(docs: DataFrame, conf: SubstringDedup = SubstringDedup(), tables: Ta
 
     kept_text is null where nothing was removed (the text itself stands). A null or short text keeps all its
     words. Rows that share a doc_id don't remove words from each other. Rows without a doc_id remove nothing and
-    lose nothing.
+    lose nothing. Of documents with the same window the smallest doc_id keeps it. Texts of any length are read whole;
+    an empty table gives no rows; other columns of docs don't matter.
     """
     tables = tables or Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tid", F.xxhash64("text"))
