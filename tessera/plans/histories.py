@@ -56,7 +56,7 @@ def entries(conv: DataFrame) -> DataFrame:
     turn 2 as well; broken lines, meta entries and side chains are strewn in."""
     c, t, role, text = F.col("c"), F.col("t"), F.col("role"), F.col("text")
     name = lambda head, n=t: F.concat(F.lit(head), n.cast("string"))
-    stamp = _json(F.date_format(F.timestamp_seconds(F.lit(1_767_225_600) + t * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    stamp = _json(F.format_string("2026-01-01T%02d:%02d:00Z", F.floor(t / 60), t % 60))
     parent = F.when((c % 4 == 0) & (t == 3), F.when(c % 8 == 0, F.lit("n2")).otherwise(F.lit("b2"))).when(t > 0, name("n", t - 1))
     linked = {"uuid": _json(name("n")), "parentUuid": _json(parent), "timestamp": stamp}
     said = _object(type=_text("text"), text=_json(text))
