@@ -10,6 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessera.shipping import ship
 
 OUT = "key string, event_id long, at_ms long, decision string"
+ORDER = ["at_ms", "event_id"]
+#: Rows of a frame of decisions.
+ROWS = 10_000
 
 
 def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -17,6 +20,18 @@ def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
+def _in_order(frames, kinds: list[str]):
+    """A key's events of one batch by time, in frames of bounded size.
+
+    A key's rows come in any order, and as several frames wherever an Arrow batch ends within them, so all are taken
+    before the first is decided. Until then a row is two numbers and a byte for its kind; a kind not named is null.
+    """
+    parts = [pdf[ORDER].assign(kind=pd.Categorical(pdf["kind"], kinds)) for pdf in frames]
+    rows = pd.concat(parts, ignore_index=True).sort_values(ORDER)
+    for at in range(0, len(rows), ROWS):
+        yield rows.iloc[at : at + ROWS]
+
+
 def _once(first: str, again: str):
     def step(key, frames, state: GroupState):
         seen = state.exists
@@ -39,8 +54,7 @@ def once_per_key(stream: DataFrame, first: str = "denied", again: str = "repeate
 def _consumed(fresh_ms: int):
     def step(key, frames, state: GroupState):
         held = state.get[0] if state.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values(["at_ms", "event_id"])
+        for pdf in _in_order(frames, ["put", "take"]):
             rows = []
             for r in pdf.itertuples(index=False):
                 if r.kind == "put":

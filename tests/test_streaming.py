@@ -47,6 +47,22 @@ def test_lost_compactions_and_later_responses(spark, tmp_path):
     assert got == {1: "lost", 2: "blocked", 3: "blocked", 4: "nudged_already", 5: "answered", 6: "blocked", 7: "lost", 8: "compacted", 9: "compacted_since", 10: "nudged_already"}
 
 
+@pytest.fixture
+def small_batches(spark):
+    """A key's rows reach its step as several frames."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_held_texts_of_frames_out_of_order(spark, tmp_path, small_batches):
+    rows = [("s", 7, 5000 + 900_001, "take"), ("s", 5, 4000, "take"), ("s", 6, 5000, "put"), ("s", 2, 1000, "put"), ("s", 4, 3000, "put"), ("s", 3, 2000, "take"), ("s", 1, 0, "take")]
+    want = {1: "nothing", 2: "stored", 3: "given", 4: "stored", 5: "given", 6: "stored", 7: "stale"}
+    assert run(spark, tmp_path, [rows], keyed.consume_once) == want
+
+
 def test_decision_log(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
