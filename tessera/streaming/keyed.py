@@ -82,9 +82,9 @@ def consume_once(stream: DataFrame, fresh_seconds: int = 900) -> DataFrame:
 def _queued(grace_ms: int):
     def step(key, frames, state: GroupState):
         queued, lost, compacted, nudged, answered = state.get if state.exists else (None, False, False, None, -1)
-        for pdf in frames:
+        for pdf in _in_order(frames, ["queue", "lost", "compact", "response", "prompt"]):
             rows = []
-            for r in pdf.sort_values(["at_ms", "event_id"]).itertuples(index=False):
+            for r in pdf.itertuples(index=False):
                 if r.kind == "queue":
                     queued, said = r.at_ms, "queued"
                 elif r.kind == "lost":

@@ -63,6 +63,12 @@ def test_held_texts_of_frames_out_of_order(spark, tmp_path, small_batches):
     assert run(spark, tmp_path, [rows], keyed.consume_once) == want
 
 
+def test_idle_nudges_of_frames_out_of_order(spark, tmp_path, small_batches):
+    rows = [("s", 10, 90, "prompt"), ("s", 9, 80, "prompt"), ("s", 8, 70, "compact"), ("s", 7, 60, "lost"), ("s", 6, 50, "prompt"), ("s", 5, 40, "response"), ("s", 4, 30, "prompt"), ("s", 3, 20, "prompt"), ("s", 2, 10, "prompt"), ("s", 1, 0, "lost")]
+    want = {1: "lost", 2: "blocked", 3: "blocked", 4: "nudged_already", 5: "answered", 6: "blocked", 7: "lost", 8: "compacted", 9: "compacted_since", 10: "nudged_already"}
+    assert run(spark, tmp_path, [rows], keyed.idle_nudges) == want
+
+
 def test_decision_log(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
