@@ -33,13 +33,20 @@ def _in_order(frames, kinds: list[str]):
 
 
 def _once(first: str, again: str):
+    def decided(key, pdf, decision):
+        return pd.DataFrame({"key": key[0], "event_id": pdf["event_id"].to_numpy(), "at_ms": pdf["at_ms"].to_numpy(), "decision": decision})
+
     def step(key, frames, state: GroupState):
-        seen = state.exists
-        for pdf in frames:
-            pdf = pdf.sort_values(["at_ms", "event_id"])
-            said = [again if seen or i else first for i in range(len(pdf))]
-            seen = True
-            yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"].to_numpy(), "at_ms": pdf["at_ms"].to_numpy(), "decision": said})
+        seen, earliest = state.exists, None
+        for pdf in frames:  # each in any order, so the earliest row waits for all of them
+            pdf = pdf[ORDER]
+            if not seen:
+                pdf = (pdf if earliest is None else pd.concat([earliest, pdf])).sort_values(ORDER)
+                earliest, pdf = pdf.iloc[:1], pdf.iloc[1:]
+            if len(pdf):
+                yield decided(key, pdf, again)
+        if earliest is not None:
+            yield decided(key, earliest, first)
         state.update((True,))
 
     return step

@@ -69,6 +69,12 @@ def test_idle_nudges_of_frames_out_of_order(spark, tmp_path, small_batches):
     assert run(spark, tmp_path, [rows], keyed.idle_nudges) == want
 
 
+def test_once_of_frames_out_of_order(spark, tmp_path, small_batches):
+    files = [[(k, 10 * i + n, 100 - i, "") for i in range(5) for n, k in enumerate("ab")], [("a", 60, 1, ""), ("c", 61, 7, ""), ("c", 63, 7, ""), ("c", 62, 6, "")]]
+    got = run(spark, tmp_path, files, keyed.once_per_key)
+    assert len(got) == 14 and {i for i, d in got.items() if d == "denied"} == {40, 41, 62}
+
+
 def test_decision_log(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
