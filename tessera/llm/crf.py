@@ -1,9 +1,12 @@
 """A skip-chain conditional random field over the tokens of a document.
 
 Adjacent tokens share chain potentials. A token shares a skip potential with the last token before it, however far,
-of equal normal form, and another one with the last token that is similar: of the same digits, a beginning of the
-other, or one edit away. So one clear occurrence settles the others. Marginals come from loopy sum-product messages,
-updated for all edges at once. Tokens of letters and marks alone can't be personal data of these kinds: they are
+of equal normal form, and the first token of a form shares another one with the first tokens of the similar forms before
+it: the last of the same digits, for each place the last that differs there alone, and all that are one removal away or
+of which one is a beginning of the other. Like equal forms, those of the same digits or of one place are alike among
+themselves, so the last one joins them all; no similar form is left out. Forms have six and more characters, of letters
+A-Z, digits and @. So one clear occurrence settles the others. Marginals come from loopy sum-product messages, updated
+for all edges at once. Tokens of letters and marks alone can't be personal data of these kinds: they are
 clamped to O, which cuts the graph without changing the marginals of the others. Digits that no run of 13 to 19 with a
 right check digit covers can't be a card, whatever their neighbours say.
 
@@ -125,13 +128,24 @@ def _checked(words: list[str], free: list[int]) -> np.ndarray:
     return np.fromiter((i in inside for i in free), bool, len(free))
 
 
+def _same(a: str, b: str) -> int:
+    """How many characters a and b, a no longer than b, have in common at their beginning."""
+    if b.startswith(a):
+        return len(a)
+    low, high = 0, len(a)
+    while low < high - 1:  # the first low characters are equal, the first high ones aren't
+        mid = (low + high) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid)
+    return low
+
+
 def one_edit(a: str, b: str) -> bool:
     """Whether one insertion, removal or exchange of a character makes a of b."""
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > 1:
         return False
-    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    at = _same(a, b)
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
@@ -156,6 +170,67 @@ def _keys(form: str) -> list[tuple]:
     return keys
 
 
+def _edits(forms: list[str], shorter: list[str]):
+    """Pairs one edit apart: of forms, all of one length, for each place the last before that differs there alone; and
+    with the forms that are one character shorter, in the order of forms.
+
+    By what each removal leaves, a place at a time, or where that takes longer by comparing all: the pairs are the same.
+    """
+    size = len(forms[0])
+    if len(forms) / 2 + len(shorter) > size * (0.06 + size / 5_000):  # rough costs of a comparison and of a removal
+        without = set(shorter)
+        for at in range(size):
+            left: dict[str, str] = {}
+            for form in forms:
+                rest = form[:at] + form[at + 1 :]
+                if rest in without:
+                    yield rest, form
+                if rest in left:
+                    yield left[rest], form
+                left[rest] = form
+        return
+    for n, form in enumerate(forms):
+        yield from ((other, form) for other in shorter if one_edit(other, form))
+        last = {_same(other, form): other for other in forms[:n] if one_edit(other, form)}
+        yield from ((other, form) for other in last.values())
+
+
+def _relatives(first: dict[str, int]) -> list[tuple[int, int]]:
+    """(earlier, later) first tokens of similar forms, as the module says; first: forms in the order of their tokens.
+
+    There are at most a few edges for each character of a form.
+    """
+    pairs: list[tuple[str, str]] = []
+    holders: dict[tuple, str] = {}
+    shared: set[str] = set()  # similar forms share a key, so the others are alone
+    for form in first:
+        for key in _keys(form):
+            other = holders.setdefault(key, form)
+            if other != form:
+                shared |= {other, form}
+    above: list[str] = []  # the beginnings of one form are behind each other in order
+    for form in sorted(form for form in shared if len(form) >= 12):
+        while above and not form.startswith(above[-1]):
+            above.pop()
+        pairs += ((other, form) for other in above)
+        above.append(form)
+    digits: dict[str, str] = {}
+    sizes: dict[int, list[str]] = {}
+    for form in first:
+        if form not in shared:
+            continue
+        number = _DIGITS.sub("", form)
+        if len(number) >= 7:
+            if number in digits:
+                pairs.append((digits[number], form))
+            digits[number] = form
+        sizes.setdefault(len(form), []).append(form)
+    for size, forms in sizes.items():
+        pairs += _edits(forms, sizes.get(size - 1, []))
+    out = {(min(first[a], first[b]), max(first[a], first[b])) for a, b in pairs}
+    return sorted(((a, b) for a, b in out if a + 1 < b), key=lambda e: (e[1], e[0]))
+
+
 def graph(words: list[str]) -> tuple[list[str], list[int], list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
     """(shapes, free tokens, chain edges, skip edges of equal forms, of similar ones); edges have a free token at either end."""
     shapes = [shape(w) if _HAS.search(w) else "" for w in words]
@@ -163,22 +238,17 @@ def graph(words: list[str]) -> tuple[list[str], list[int], list[tuple[int, int]]
     inside = set(free)
     chain = [(i, i + 1) for i in free if i + 1 in inside]
     last: dict[str, int] = {}
-    near: dict[tuple, tuple[int, str]] = {}
-    equal, similar = [], []
+    first: dict[str, int] = {}
+    equal = []
     for i in free:
         form = _FORM.sub("", words[i].lower())
         if len(form) < 6:
             continue
-        if form in last:
-            if last[form] + 1 < i:
-                equal.append((last[form], i))
-        else:  # the first of its form: later ones are joined with it
-            keys = _keys(form)
-            mates = {near[k] for k in keys if k in near}
-            similar += [(at, i) for at, other in sorted(mates) if at + 1 < i and _similar(form, other)]
-            near.update(dict.fromkeys(keys, (i, form)))
+        first.setdefault(form, i)
+        if last.get(form, i) + 1 < i:
+            equal.append((last[form], i))
         last[form] = i
-    return shapes, free, chain, equal, similar
+    return shapes, free, chain, equal, _relatives(first)
 
 
 def _longest(skip: list[tuple[int, int]]) -> int:
@@ -214,18 +284,20 @@ class Model:
             if i + 1 < len(words) and i + 1 not in inside:
                 scores[row] += self.chain[:, 0]
         at = {i: row for row, i in enumerate(free)}
-        pairs = [(at[a], at[b], w) for edges, w in ((chain, self.chain), (equal, self.equal), (similar, self.similar)) for a, b in edges]
+        pairs = [(at[a], at[b]) for a, b in chain + equal + similar]
         if pairs:
-            source = np.array([a for a, _, _ in pairs] + [b for _, b, _ in pairs])
-            target = np.array([b for _, b, _ in pairs] + [a for a, _, _ in pairs])
-            weight = np.exp(np.array([w for *_, w in pairs] + [w.T for *_, w in pairs]))
+            source = np.array([a for a, _ in pairs] + [b for _, b in pairs])
+            target = np.array([b for _, b in pairs] + [a for a, _ in pairs])
+            ends = np.cumsum([0, *2 * [len(chain), len(equal), len(similar)]])
+            weights = [np.exp(w) for w in (self.chain, self.equal, self.similar, self.chain.T, self.equal.T, self.similar.T)]
             back = np.concatenate((np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))))
             sent = np.zeros((len(source), len(LABELS)))
             for _ in range(rounds + 4 * _longest(sorted(equal + similar, key=lambda e: e[1]))):
                 total = scores.copy()
                 np.add.at(total, target, sent)
                 cavity = total[source] - sent[back]
-                new = np.log(np.einsum("ei,eij->ej", np.exp(cavity - cavity.max(axis=1, keepdims=True)), weight) + 1e-300)
+                told = np.exp(cavity - cavity.max(axis=1, keepdims=True))
+                new = np.log(np.concatenate([told[a:b] @ w for a, b, w in zip(ends, ends[1:], weights)]) + 1e-300)
                 new -= new.max(axis=1, keepdims=True)
                 done = np.abs(new - sent).max() < 1e-4
                 sent = 0.5 * sent + 0.5 * new if not done else new

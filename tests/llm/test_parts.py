@@ -268,6 +268,55 @@ def test_similar_forms_share_a_key(form, at, way):
     assert way == "cut" or crf.one_edit(form, other)
 
 
+def similar_edges(words):
+    """crf's edges between similar forms, by comparing each with all before it."""
+    first, out = {}, set()
+    for i, w in enumerate(words):
+        form = crf._FORM.sub("", w.lower())
+        if len(form) < 6 or form in first or not crf._HAS.search(w):
+            continue
+        last = {}
+        for other, at in first.items():
+            a, b = sorted((form, other), key=len)
+            ways = []
+            digits = ["".join(c for c in f if c.isdigit()) for f in (form, other)]
+            if len(digits[0]) >= 7 and digits[0] == digits[1]:
+                ways.append("digits")
+            if len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1:
+                ways.append(next(p for p in range(len(a)) if a[p] != b[p]))
+            if len(a) >= 12 and b.startswith(a) or len(a) + 1 == len(b) and any(b[:p] + b[p + 1 :] == a for p in range(len(b))):
+                ways.append(other)
+            assert bool(ways) == crf._similar(form, other)
+            last.update(dict.fromkeys(ways, at))
+        out |= {(at, i) for at in last.values() if at + 1 < i}
+        first[form] = i
+    return out
+
+
+_LONG = "7a" * 60
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.one_of(st.text("01a", min_size=5, max_size=8), st.text("1-", min_size=5, max_size=16), st.sampled_from(["the", "a1b2c3d4e5f6", "a1b2c3d4e5f6g7", "a1b2c3d4e5f6h8", _LONG[1:], _LONG, _LONG + "1", _LONG + "2", "b" + _LONG, _LONG + "1b", "2" + _LONG[1:] + "1"])), max_size=30))
+def test_no_similar_form_is_left_out(words):
+    edges = crf.graph(words)[4]
+    assert len(edges) == len(set(edges)) and set(edges) == similar_edges(words)
+
+
+def test_a_form_between_hides_no_similar_one():
+    """All three begin alike; the last is a beginning of the first alone."""
+    words = "secret = a9xk29dk3lslw93kdls02kdl39s0 of it, then a9xk29dk3lslm4 was sent on and a9xk29dk3lslw93kdls0 was cut off".split()
+    assert crf.graph(words)[4] == [(2, 11)]
+    text = " ".join(words)
+    assert "a9xk29dk3lslw93kdls0" in [text[a:b] for a, b, _ in pii.added_spans(text, crf.trained(), [], 0.9)]
+
+
+def test_long_documents_of_similar_numbers_end():
+    words = [str(1_700_000_000 + i) for i in range(20_000)]
+    free, p = crf.trained().marginals(words)
+    assert len(free) == 20_000 and np.isfinite(p).all()
+
+
 @pytest.mark.parametrize(
     ("said", "postfix"),
     [
